@@ -80,8 +80,7 @@ def shingle_sets(texts: list[str], k: int = 5) -> Iterator[np.ndarray]:
         if n >= k:
             yield np.unique(long[at : at + n - k + 1])
         elif n:
-            short = (h[at : at + n] * _PLACES[:n]).sum(dtype=np.uint64) + np.uint64(n) * _PLACES[15]
-            yield mixed(np.array([short], np.uint64))
+            yield mixed((h[at : at + n] * _PLACES[:n]).sum(dtype=np.uint64, keepdims=True) + _PLACES[15] * np.full(1, n, np.uint64))
         else:
             yield np.zeros(0, np.uint64)
         at += n

@@ -284,3 +284,12 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     final = classes.select("digest", "rep", "members").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "members", F.coalesce("component", "rep").alias("component_id"))
     both = with_group(sets, final, "digest", F.coalesce(F.col("doc_id"), F.lit(0)))
     return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """Rows of df, all columns: of each component those of its smallest id, repeated rows once; rows without words or id stay."""
+    found = components(df, id_col, text_col, k, percent)
+    gone = found.where("doc_id is not null and n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return df.join(gone, id_col, "left_anti").dropDuplicates(df.columns)
+
+

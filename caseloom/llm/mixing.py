@@ -44,13 +44,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
     )
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats (whole copies that the mix takes) and taken (words) of each row."""
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, repeats (whole copies that the mix takes) and taken (words) of each row; keep: and these columns, as the struct row."""
     rows = df.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
+        *([F.struct(*(F.col(c) for c in keep)).alias("row")] if keep else []),
     ).withColumn("b", F.pmod(F.shiftright("h", 40), F.lit(HASH_BUCKETS)))
     buckets = rows.groupBy("source", "b").agg(F.sum("size").alias("bucket_size"))
     sources = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, epochs)
@@ -71,5 +72,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         placed.alias("p")
         .join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")) & (F.col("p.b") == F.col("c.b")))
         .withColumn("repeats", F.col("whole") + once_more.cast("bigint"))
-        .select("doc_id", F.col("p.source").alias("source"), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).cast("bigint").alias("taken"))
+        .select("doc_id", F.col("p.source").alias("source"), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).cast("bigint").alias("taken"), *(["row"] if keep else []))
     )
+
+
+
+def applied(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """Rows of df, all columns, as often as the mix takes them; a row without words, which has no size to take, stays once."""
+    took = mix(df, id_col, text_col, source_col, weights, epochs, seed, keep=df.columns)
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("repeats")).cast("int")
+    return took.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*(F.col(f"row.{c}").alias(c) for c in df.columns))

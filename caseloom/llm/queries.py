@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, mixing, packing, spotsigs, token_counts, toxicity
+from . import backoff, jaccard, line_dedup, media, mixing, packing, spotsigs, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 
@@ -16,6 +16,11 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -26,10 +31,22 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.stored(documents(spark, sf_dir)))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir)).drop("removed")
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(documents(spark, sf_dir))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_copies(documents(spark, sf_dir))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scores(documents(spark, sf_dir)).drop("mean_log_score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), byte_bpe())
 
@@ -42,9 +59,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), byte_bpe())
 
 
+ALL = (op1_line_dedup, op2_toxicity, op3_media_columns, op4_suffix_dedup, op5_jaccard_join, op6_fingerprints, op7_lm_scores, op8_packing, op9_mixing, op10_token_counts)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_media_columns, op6_fingerprints, op8_packing, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": line_dedup.SQL, "op7_lm_scores": backoff.sql()}

@@ -187,6 +187,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fitted([r.text for r in rows if r.y == 1], [r.text for r in rows if r.y == 0])
 
 
+def document_scores(net: Field, texts: list[str]) -> tuple[list[float], list[np.ndarray]]:
+    """The largest marginal of each text, and all of them by token."""
+    if net.empty:
+        return [0.0] * len(texts), [np.zeros(0)] * len(texts)
+    known = net.known
+    rows = [[known[w] if w in known else net.emission(w) for w in WORD.findall(t.lower())] for t in texts]
+    sizes = np.array([len(r) for r in rows], np.int64)
+    ends = np.cumsum(sizes)
+    first = np.zeros(int(sizes.sum()), bool)
+    first[(ends - sizes)[sizes > 0]] = True
+    p = np.split(net.marginals(np.fromiter((x for r in rows for x in r), float, len(first)), first), ends[:-1])
+    return [float(x.max()) if len(x) else 0.0 for x in p], p
+
+
 def scored(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, spans (array of start, end in code points, marginal) of each row."""
     small_batches(df.sparkSession)
@@ -198,21 +212,8 @@ def scored(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
         net = Field(*shared.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            scores, spans = [0.0] * len(texts), [[] for _ in texts]
-            if not net.empty:
-                known = net.known
-                rows = [[known[w] if w in known else net.emission(w) for w in WORD.findall(t.lower())] for t in texts]
-                sizes = np.array([len(r) for r in rows])
-                ends = np.cumsum(sizes)
-                first = np.zeros(int(sizes.sum()), bool)
-                first[(ends - sizes)[sizes > 0]] = True
-                p = net.marginals(np.fromiter((x for r in rows for x in r), float, len(first)), first)
-                for k, (n, end) in enumerate(zip(sizes, ends, strict=True)):
-                    if n:
-                        own = p[end - n : end]
-                        scores[k] = float(own.max())
-                        if scores[k] >= 0.5:
-                            spans[k] = runs(texts[k], own)
+            scores, own = document_scores(net, texts)
+            spans = [runs(t, p) if s >= 0.5 else [] for t, s, p in zip(texts, scores, own, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, span)], ["doc_id", "score", "predicted", "spans"])
 
     return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, score double, predicted int, spans array<struct<start:int,end:int,marginal:double>>")
@@ -231,3 +232,17 @@ def runs(text: str, p: np.ndarray) -> list[dict]:
         else:
             out.append({"start": where[k][0], "end": where[k][1], "marginal": float(p[k])})
     return out
+
+
+def filtered(df: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
+    """Rows of df, all columns, whose text scores under one half; decided where the rows lie, so nothing is joined."""
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.trans, model.start, model.empty))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Field(*shared.value)
+        for batch in batches:
+            scores = document_scores(net, [t or "" for t in batch.column(text_col).to_pylist()])[0]
+            yield batch.filter(pa.array([s < 0.5 for s in scores], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
