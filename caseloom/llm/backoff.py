@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD, checkpointed, id_text, shuffle_partitions, small_batches
+from .common import WORD, checkpointed, id_text, shuffle_partitions, small_batches, with_long_id
 from .hashing import _PLACES, mixed, words
 
 ALPHA, LEAST, BLOCK = 0.4, 2, 4_000_000
@@ -146,7 +146,7 @@ def partial_scores(rows: DataFrame, parts: int, alpha: float, least: int) -> Dat
 def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, least: int = LEAST) -> DataFrame:
     """doc_id, n_tokens, n_backoffs, score (millionths of natural logarithms), mean_log_score of each row."""
     small_batches(df.sparkSession)
-    rows = id_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = with_long_id(id_text(df, id_col, text_col))
     part = checkpointed(partial_scores(rows, shuffle_partitions(df.sparkSession), alpha, least))
     n = part.agg(F.sum("n_tokens")).first()[0] or 0
     score = F.col("partial") - F.col("n_backoffs") * int(micro(n))

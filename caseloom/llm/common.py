@@ -15,8 +15,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Just the id and the text, null text as empty: other columns, whatever their names, go no further."""
-    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """Just the id and the text, null text as empty: other columns, whatever their names, go no further.
+
+    No alias where the name is right already: the optimizer keeps it in some branches of a plan alone, and equal exchanges then
+    aren't reused.
+    """
+    return df.select(F.col(id_col) if id_col == "doc_id" else F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def with_long_id(rows: DataFrame) -> DataFrame:
+    return rows if rows.schema["doc_id"].dataType.typeName() == "long" else rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpointed
 
-HOT, SALTS = 256, 64
+HOT, SALTS, STARS = 256, 64, 8
 
 
 def with_group(rows: DataFrame, groups: DataFrame, key: str, salt: Column) -> DataFrame:
@@ -26,6 +26,12 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, salt: Column) -> Da
     return second.select(*rows.columns, *(F.coalesce(f"_hot_{c}", c).alias(c) for c in rest))
 
 
+def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (a, b) with the minimum m of a, joined under a few salts: the middle of a large star has as many rows as the star."""
+    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(STARS)).cast("int"))
+    return salted.join(least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(STARS - 1)))), ["a", "_salt"])
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Edges (a, b) -> node, component (the smallest node reachable), for nodes that have an edge to another.
 
@@ -34,14 +40,12 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     e = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("members")).select("a", F.least("a", "m").alias("m"), "members")
-        large = with_group(both.where("b > a"), least, "a", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("members"))
-        small = with_group(large, low, "a", F.col("b")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
+        large = with_least(both.where("b > a"), both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = with_least(large, large.groupBy("a").agg(F.min("b").alias("m"))).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         e = checkpointed(small)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        if state == before or not state[0]:
             break
         before = state
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, id_text, shuffle_partitions, small_batches
+from .common import checkpointed, id_text, shuffle_partitions, small_batches, with_long_id
 from .graph import connected_components, with_group
 from .hashing import set_digest, shingle_sets
 
@@ -237,7 +237,10 @@ def divide_skip(sets: list[tuple[int, int, list[int], int]], percent: int) -> li
 
 
 def links(cands: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Edges a, b whose components are those of all links."""
+    """node, component of sets that have links.
+
+    A task that has a whole cluster gives its components at once; only links from pieces of cut clusters are put together.
+    """
     posted = cands.select("doc_id", F.explode("prefix").alias("token"))
     met = posted.groupBy("token").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).where("members > 1")
     stars = with_group(posted, met, "token", F.col("doc_id")).where("least is not null and least <> doc_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
@@ -250,20 +253,40 @@ def links(cands: DataFrame, percent: int, parts: int) -> DataFrame:
     sent = sized.withColumn("pair", F.explode(pairs)).withColumn("i", F.col("pair.i")).withColumn("j", F.col("pair.j"))
     side = F.when(F.col("i") == F.col("j"), 0).when(F.col("mine") == F.col("i"), -1).otherwise(1)
     task = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(parts * 4))).otherwise(F.xxhash64("cluster", "i", "j"))
-    sent = sent.select(task.alias("task"), "cluster", "i", "j", side.alias("side"), "doc_id", "n", "tokens")
+    sent = sent.select(task.alias("task"), "cluster", "i", "j", side.alias("side"), (F.col("cuts") > 1).cast("int").alias("cut"), "doc_id", "n", "tokens")
 
     def run(table: pa.Table) -> pa.Table:
         groups: dict[tuple, list] = defaultdict(list)
-        for r in zip(*(table[c].to_pylist() for c in ("cluster", "i", "j", "doc_id", "n", "tokens", "side")), strict=True):
-            groups[r[:3]].append((r[3], r[4], r[5], r[6]))
+        for r in zip(*(table[c].to_pylist() for c in ("cluster", "i", "j", "cut", "doc_id", "n", "tokens", "side")), strict=True):
+            groups[r[:4]].append(r[4:])
         found = []
-        for sets in groups.values():
+        for (*_, cut), sets in groups.items():
             if len(sets) > 1:
-                found += divide_skip([(d, n, np.frombuffer(t, np.uint64).tolist(), s) for d, n, t, s in sets], percent)
-        cols = [*zip(*found, strict=True)] or [[], []]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], ["a", "b"])
+                forest = divide_skip([(d, n, np.frombuffer(t, np.uint64).tolist(), s) for d, n, t, s in sets], percent)
+                found += [(b, a, cut) for a, b in (forest if cut else stars_of(forest))]
+        cols = [*zip(*found, strict=True)] or [[], [], []]
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["a", "b", "cut"])
+
+    edges = checkpointed(sent.groupBy("task").applyInArrow(run, "a bigint, b bigint, cut int"))
+    whole = edges.where("cut = 0").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    pieces = edges.where("cut = 1").select("a", "b")
+    return whole if pieces.isEmpty() else whole.unionByName(connected_components(pieces))
+
+
+def stars_of(forest: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(least of its tree, node) of each other node of a forest."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
-    return sent.groupBy("task").applyInArrow(run, "a bigint, b bigint")
+    for a, b in forest:
+        p, q = sorted((root(a), root(b)))
+        parent[q] = p
+    return [(root(x), x) for x in list(parent) if root(x) != x]
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -271,7 +294,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     spark = df.sparkSession
     small_batches(spark)
     parts = shuffle_partitions(spark)
-    rows = id_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = with_long_id(id_text(df, id_col, text_col))
     sets = checkpointed(sets_of(rows, k))
     named = sets.where("doc_id is not null and digest is not null")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.min("n").alias("size"))
@@ -280,7 +303,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     chances = promising(known, k, percent, parts).join(classes.select(F.col("rep").alias("doc_id"), "size"), "doc_id").where(F.col("shared") >= F.greatest(spare, F.lit(1)))
     blocks = checkpointed(whole_blocks(known.join(chances.select("doc_id").distinct(), "doc_id", "left_semi"), k))
     cands = checkpointed(candidates(blocks, frequencies(blocks, parts), percent))
-    found = connected_components(links(cands, percent, parts))
+    found = links(cands, percent, parts)
     final = classes.select("digest", "rep", "members").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "members", F.coalesce("component", "rep").alias("component_id"))
     both = with_group(sets, final, "digest", F.coalesce(F.col("doc_id"), F.lit(0)))
     return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

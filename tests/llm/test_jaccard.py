@@ -54,6 +54,10 @@ def test_near_copies_of_many_degrees(spark, monkeypatch):
     assert result(df) == brute(rows)
 
 
+def test_stars_of_a_forest():
+    assert sorted(jaccard.stars_of([(9, 5), (7, 9), (3, 7), (5, 1), (20, 30)])) == [(1, 3), (1, 5), (1, 7), (1, 9), (20, 30)]
+
+
 def test_components(spark):
     edges = [(k + 1, k) for k in range(100, 160)] + [(5, 900), (900, 7), (3, 3)]
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
