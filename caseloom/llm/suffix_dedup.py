@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .anchors import runs
-from .common import digest, id_text, shuffle_partitions, small_batches
+from .common import checkpointed, digest, id_text, shuffle_partitions, small_batches, with_long_id
 from .graph import with_group
 
 LENGTH, GRAM = 50, 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 BLOCK, BUCKET = 4_000_000, 4_000_000
-LOCAL = np.uint32(0xFFFFFFFF)
+LOCAL, REF = np.uint32(0xFFFFFFFF), np.uint16
 #: From a residue to the next position of the cover.
 NEXT = np.array([next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER) for r in range(PERIOD)])
 
@@ -76,11 +76,12 @@ def shared_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> Dat
             to = (h[sent] % np.uint64(buckets)).astype(np.int64)
             by_bucket = np.argsort(to, kind="stable")
             for q, k in zip(*grouped(to[by_bucket], sent[by_bucket]), strict=True):
+                k = k[np.argsort(order[k])]  # in the order of documents, which compresses
                 own = ~here[k]
                 used, ref = np.unique(doc[k][own], return_inverse=True)
                 short = np.full(len(k), LOCAL, np.uint32)
                 short[own] = ref
-                out.append((q, (h[k] >> np.uint64(20)).astype(np.uint32).tobytes(), short.tobytes(), name[used].tobytes(), b"", at[k].tobytes()))
+                out.append((q, (h[k] >> np.uint64(20)).astype(np.uint32).tobytes(), short.astype(REF).tobytes() if len(used) < 65535 else short.tobytes(), name[used].tobytes(), b"", planes(at[k])))
             if out:
                 cols = [*zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["q", "h", "ref", "ids", "counts", "at"])
@@ -94,7 +95,7 @@ def shared_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> Dat
                 places += [p.tobytes() for p in np.split(at, np.cumsum(counts)[:-1])]
             return pa.table([pa.array(ids, pa.int64()), pa.array(places, pa.binary())], ["doc_id", "places"])
         hs = [np.frombuffer(x, np.uint32) for x in table["h"].to_pylist()]
-        refs = [np.frombuffer(x, np.uint32) for x in table["ref"].to_pylist()]
+        refs = [reference(x, len(y)) for x, y in zip(table["ref"].to_pylist(), hs, strict=True)]
         # one entry for each block and hash; those that were settled in a block count twice
         once = [np.concatenate([np.unique(x), x[r == LOCAL]]) for x, r in zip(hs, refs, strict=True)]
         unique, counts = np.unique(np.concatenate(once), return_counts=True)
@@ -106,7 +107,7 @@ def shared_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> Dat
             hit[hit] = unique[k[hit]] == x[hit]
             hit &= r != LOCAL
             order = np.argsort(r[hit], kind="stable")
-            name, at = np.frombuffer(name, np.int64), np.frombuffer(at, np.uint32)[hit][order]
+            name, at = np.frombuffer(name, np.int64), unplaned(at)[hit][order]
             for doc, part in zip(*grouped(r[hit][order], at), strict=True):
                 ids.append(name[doc])
                 places.append(part.tobytes())
@@ -117,6 +118,23 @@ def shared_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> Dat
     return asked.withColumn("q", spread).groupBy("q").applyInArrow(answers, "doc_id bigint, places binary")
 
 
+def reference(data: bytes, n: int) -> np.ndarray:
+    """Documents' numbers, in two bytes if that is enough."""
+    if len(data) == 4 * n:
+        return np.frombuffer(data, np.uint32)
+    short = np.frombuffer(data, REF)
+    return np.where(short == 0xFFFF, LOCAL, short.astype(np.uint32))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte of all, so that the zeros of small ones compress."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
     """values by sorted keys."""
     if not len(keys):
@@ -168,11 +186,14 @@ def repeats(contexts: list[bytes], anchor: np.ndarray, doc: np.ndarray, length:
 
 def repeated_runs(rows: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
     """rows (doc_id, places, text) -> doc_id, crc (of the text), spans: pairs of first and last starts whose strings also start in a smaller doc."""
-    names = ["q", "doc_id", "crc", "first", "anchor", "h", "sizes", "bytes"]
+    names = ["q", "doc_id", "crc", "ref", "first", "anchor", "sizes", "bytes"]
 
     def row(q: int, entries: list[tuple], contexts: list[bytes]) -> tuple:
-        doc, crc, first, anchor, h, size = zip(*entries, strict=True)
-        return q, *(np.array(x, t).tobytes() for x, t in ((doc, np.int64), (crc, np.uint32), (first, np.uint32), (anchor, np.uint32), (h, np.uint64), (size, np.uint32))), b"".join(contexts)
+        doc, crc, first, anchor, _, size = zip(*entries, strict=True)
+        texts = {x: k for k, x in enumerate(dict.fromkeys(zip(doc, crc, strict=True)))}
+        ids, crcs = zip(*texts, strict=True)
+        ref = [texts[x] for x in zip(doc, crc, strict=True)]
+        return q, np.array(ids, np.int64).tobytes(), np.array(crcs, np.uint32).tobytes(), *(planes(np.array(x, np.uint32)) for x in (ref, first, anchor, size)), b"".join(contexts)
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, places, texts in by_block(batches, ("doc_id", "places", "text")):
@@ -206,8 +227,9 @@ def repeated_runs(rows: DataFrame, length: int, gram: int, buckets: int) -> Data
 
     def answers(table: pa.Table) -> pa.Table:
         load = lambda c, t: [np.frombuffer(x, t) for x in table[c].to_pylist()]
-        doc, crc, first, anchor, h, sizes = (np.concatenate(load(c, t)) for c, t in (("doc_id", np.int64), ("crc", np.uint32), ("first", np.uint32), ("anchor", np.uint32), ("h", np.uint64), ("sizes", np.uint32)))
-        first, sizes = first.astype(np.int64), sizes.astype(np.int64)
+        first, anchor, sizes = (np.concatenate([unplaned(x) for x in table[c].to_pylist()]).astype(np.int64) for c in ("first", "anchor", "sizes"))
+        refs = [unplaned(x) for x in table["ref"].to_pylist()]
+        doc, crc = (np.concatenate([x[r] for x, r in zip(load(c, t), refs, strict=True)]) for c, t in (("doc_id", np.int64), ("crc", np.uint32)))
         if table["q"][0].as_py() < 0:  # settled in its block
             return spans(doc, crc, np.stack([first, first + sizes - length], 1))
         contexts, data = [], b"".join(table["bytes"].to_pylist())
@@ -220,8 +242,9 @@ def repeated_runs(rows: DataFrame, length: int, gram: int, buckets: int) -> Data
         whole = np.array([d > least[c] for c, d in zip(contexts, doc.tolist(), strict=True)])
         out = [(doc[whole], crc[whole], np.stack([first, first + sizes - length], 1)[whole])]
         rest = np.flatnonzero(~whole)
-        rest = rest[np.argsort(h[rest], kind="stable")]
-        _, parts = grouped(h[rest], rest)
+        _, h = np.unique(np.array([contexts[k][anchor[k] : anchor[k] + gram] for k in rest.tolist()], f"S{gram}"), return_inverse=True)
+        by_anchor = np.argsort(h, kind="stable")
+        _, parts = grouped(h[by_anchor], rest[by_anchor])
         bucket: list[np.ndarray] = []
         held = 0
         for k, part in enumerate(parts):
@@ -231,7 +254,7 @@ def repeated_runs(rows: DataFrame, length: int, gram: int, buckets: int) -> Data
             if bucket and (held > BUCKET or k == len(parts) - 1):
                 at = np.concatenate(bucket)
                 # runs of different anchors of one bucket can't hold equal strings
-                for x, hit in zip(at.tolist(), repeats([contexts[i] for i in at.tolist()], anchor[at].astype(np.int64), doc[at], length), strict=True):
+                for x, hit in zip(at.tolist(), repeats([contexts[i] for i in at.tolist()], anchor[at], doc[at], length), strict=True):
                     if hit.any():
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
                         pairs = edge.reshape(-1, 2) + first[x] - [0, 1]
@@ -239,7 +262,7 @@ def repeated_runs(rows: DataFrame, length: int, gram: int, buckets: int) -> Data
                 bucket, held = [], 0
         return spans(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
-    asked = rows.mapInArrow(requests, "q int, doc_id binary, crc binary, first binary, anchor binary, h binary, sizes binary, bytes binary")
+    asked = rows.mapInArrow(requests, "q int, doc_id binary, crc binary, ref binary, first binary, anchor binary, sizes binary, bytes binary")
     spread = F.when(F.col("q") < 0, -1 - F.pmod(F.xxhash64("doc_id"), F.lit(4096)).cast("int")).otherwise(F.col("q"))
     return asked.withColumn("q", spread).groupBy("q").applyInArrow(answers, "doc_id bigint, crc bigint, spans binary")
 
@@ -263,11 +286,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     spark = df.sparkSession
     small_batches(spark)
     buckets = shuffle_partitions(spark)
-    rows = id_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = with_long_id(id_text(df, id_col, text_col))
     known = rows.where("doc_id is not null")
     names = known.select("doc_id", digest(F.col("text")).alias("digest"))
     classes = names.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
-    copies = with_group(names, classes.where("members > 1"), "digest", F.col("doc_id")).where("least < doc_id").groupBy("doc_id").agg(F.collect_set("digest").alias("copies"))
+    copies = checkpointed(with_group(names, classes.where("members > 1"), "digest", F.col("doc_id")).where("least < doc_id").groupBy("doc_id").agg(F.collect_set("digest").alias("copies")))
     places = shared_anchors(known, length, gram, buckets).groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     mark = F.coalesce(F.array_contains("copies", digest(F.col("text"))), F.lit(False))
     dealt = known.repartition(buckets, "doc_id")  # one exchange of the texts for both joins
