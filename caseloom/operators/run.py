@@ -1,0 +1,37 @@
+"""Runs a relational plan on a folder of tables."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from caseloom.plans.relational import PLANS, TABLES, Dialect
+from caseloom.sources.tables import table
+
+
+def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A callable of session and folder; the tables that the plan names are temporary views of names of their own."""
+    text = PLANS[name](Dialect(spark=True))
+    used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)]
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        sql = text
+        for t in used:
+            view = f"caseloom_{t}_{abs(hash(folder))}"
+            table(spark, folder, t).createOrReplaceTempView(view)
+            sql = re.sub(rf"\b(FROM|JOIN) {t}\b(?!\.)(?= ([A-Za-z]+ ON|AS)\b)", rf"\1 {view}", sql)
+            sql = re.sub(rf"\b(FROM|JOIN) {t}\b(?!\.)", rf"\1 {view} AS {t}", sql)
+        return spark.sql(sql)
+
+    run.__name__ = name
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query(name) for name in PLANS}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: plan(Dialect(spark=False)) for name, plan in PLANS.items()}

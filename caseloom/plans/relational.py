@@ -1,0 +1,256 @@
+"""Plans of the record operators over the star-schema and document tables.
+
+Each plan is a function of a dialect that returns one SQL text. Catalyst prunes columns and pushes filters to the scans;
+aggregations pre-aggregate before their exchange; rankings keep their top rows only; ties are always broken by an id.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "pages", "labels", "conversations", "embeddings")
+
+
+@dataclass(frozen=True)
+class Dialect:
+    spark: bool
+
+    def sha256(self, x: str) -> str:
+        return f"sha2({x}, 256)" if self.spark else f"sha256({x})"
+
+    def words(self, x: str) -> str:
+        """ASCII words of a text in lower case, as an array."""
+        return f"regexp_extract_all(lower({x}), '[a-z]+', 0)" if self.spark else f"regexp_extract_all(lower({x}), '[a-z]+')"
+
+    def unnest(self, array: str, name: str) -> str:
+        """A FROM item that follows the item whose array it unnests."""
+        return f"LATERAL VIEW explode({array}) AS {name}" if self.spark else f", unnest({array}) AS _u({name})"
+
+    def seconds(self, a: str, b: str) -> str:
+        return f"(unix_micros({b}) - unix_micros({a}))" if self.spark else f"(epoch_us({b}) - epoch_us({a}))"
+
+    def day(self, x: str) -> str:
+        return f"date_format({x}, 'yyyy-MM-dd')" if self.spark else f"strftime({x}, '%Y-%m-%d')"
+
+    def json(self, x: str, key: str) -> str:
+        return f"get_json_object({x}, '$.{key}')" if self.spark else f"json_extract_string({x}, '$.{key}')"
+
+    def json_keys(self, x: str) -> str:
+        return f"json_object_keys({x})" if self.spark else f"json_keys({x})"
+
+    def matches(self, x: str, pattern: str) -> str:
+        return f"{x} RLIKE '{pattern}'" if self.spark else f"regexp_matches({x}, '{pattern}')"
+
+    def extract(self, x: str, pattern: str, group: int) -> str:
+        return f"regexp_extract({x}, r'{pattern}', {group})" if self.spark else f"regexp_extract({x}, '{pattern}', {group})"
+
+    def replace(self, x: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({x}, r'{pattern}', '{by}')" if self.spark else f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+
+
+PLANS: dict[str, Callable[[Dialect], str]] = {}
+
+
+def plan(f: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
+    PLANS[f.__name__] = f
+    return f
+
+
+PRF = """tp, fp, fn, tn, tp / nullif(tp + fp, 0) AS precision_, tp / nullif(tp + fn, 0) AS recall_, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1, (tp + tn) / nullif(tp + fp + fn + tn, 0) AS accuracy"""
+
+
+@plan
+def label_scores(d: Dialect) -> str:
+    """Confusion counts and ratios of a length rule against quality labels: all, by language, by source, in one pass; null where nothing is counted."""
+    return f"""SELECT scope, name, {PRF} FROM (
+      SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'all' END AS scope, coalesce(lang, source, 'all') AS name,
+        count_if(p AND q) AS tp, count_if(p AND NOT q) AS fp, count_if(NOT p AND q) AS fn, count_if(NOT p AND NOT q) AS tn
+      FROM (SELECT lang, source, n_chars >= 1000 AS p, quality = 1 AS q FROM documents JOIN labels ON documents.doc_id = labels.doc_id) AS x
+      GROUP BY GROUPING SETS ((), (lang), (source))) AS y"""
+
+
+@plan
+def label_scores_macro(d: Dialect) -> str:
+    """Unweighted and support-weighted means of the languages' F1."""
+    return """SELECT count(*) AS groups, round(avg(f1), 9) AS macro_f1, round(sum(f1 * n) / nullif(sum(n), 0), 9) AS weighted_f1 FROM (
+      SELECT lang, 2 * count_if(p AND q) / nullif(count_if(p) + count_if(q), 0) AS f1, count_if(q) AS n
+      FROM (SELECT lang, n_chars >= 1000 AS p, quality = 1 AS q FROM documents JOIN labels ON documents.doc_id = labels.doc_id) AS x GROUP BY lang) AS y"""
+
+
+@plan
+def exact_duplicates(d: Dialect) -> str:
+    """Every record kept, later ones of equal text marked with the first one's id."""
+    return f"""WITH h AS (SELECT doc_id, {d.sha256("text")} AS digest FROM documents), f AS (SELECT digest, min(doc_id) AS first_id, count(*) AS copies FROM h GROUP BY digest HAVING count(*) > 1)
+      SELECT h.doc_id, h.digest, coalesce(f.copies, 1) AS copies, CASE WHEN f.first_id < h.doc_id THEN f.first_id END AS exact_duplicate_of FROM h LEFT JOIN f ON h.digest = f.digest"""
+
+
+@plan
+def length_report(d: Dialect) -> str:
+    """Count, sum, extremes, mean and both conventions of the 95th percentile."""
+    return """SELECT lang, count(*) AS n, sum(n_chars) AS total, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean_chars,
+      percentile_disc(0.95) WITHIN GROUP (ORDER BY n_chars) AS p95_nearest, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY n_chars), 6) AS p95_linear, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY n_chars), 6) AS median_chars
+      FROM documents GROUP BY lang"""
+
+
+@plan
+def stratified_hash_sample(d: Dialect) -> str:
+    """A reproducible sample: in each stratum the five lowest salted digests, dealt round-robin over the strata."""
+    return f"""SELECT lang, doc_id, k AS round_, row_number() OVER (ORDER BY k, lang) AS pick FROM (
+      SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {d.sha256("concat('seed-7:', cast(doc_id AS string))")}, doc_id) AS k FROM documents) AS x WHERE k <= 5"""
+
+
+@plan
+def throughput(d: Dialect) -> str:
+    """Rates by kind: totals are null when any contribution is null or there is none; a missing divisor counts as 1."""
+    return """SELECT event_type, count(*) AS n, CASE WHEN count(v) = count(*) THEN round(sum(v), 6) END AS total, round(sum(coalesce(w, 1.0)), 6) AS weight, coalesce(round(sum(v), 6), 0.0) AS known_total,
+      round(3600 * count(*) / nullif(sum(coalesce(w, 1.0)), 0), 6) AS per_hour
+      FROM (SELECT event_type, CASE WHEN event_type = 'error' AND user_id % 10 = 0 THEN NULL ELSE value END AS v, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id * 0.5 END AS w FROM events) AS x GROUP BY event_type"""
+
+
+@plan
+def cohort_report(d: Dialect) -> str:
+    """Global, split and id figures in one scan."""
+    return """SELECT c_mktsegment AS segment, c_nationkey AS nation, count(*) AS orders_, count(DISTINCT c_custkey) AS customers, round(sum(o_totalprice), 2) AS revenue, grouping(c_mktsegment) + 2 * grouping(c_nationkey) AS level_
+      FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY GROUPING SETS ((), (c_mktsegment), (c_nationkey), (c_mktsegment, c_nationkey))"""
+
+
+@plan
+def vocabulary(d: Dialect) -> str:
+    """Term counts and document frequencies of terms in at least three documents."""
+    return f"""SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, term FROM documents {d.unnest(d.words("text"), "term")}) AS x GROUP BY term HAVING count(DISTINCT doc_id) >= 3"""
+
+
+@plan
+def idf_shortlist(d: Dialect) -> str:
+    """For each benchmark item the five documents of highest IDF overlap over an inverted index; ties by id. Terms of more than a fifth of all documents carry no weight and are not joined."""
+    terms = lambda table, key: f"SELECT DISTINCT {key}, term FROM {table} {d.unnest(d.words('text'), 'term')} WHERE length(term) >= 4"
+    return f"""WITH t AS ({terms("documents", "doc_id")}), n AS (SELECT count(*) AS n FROM documents), f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+      w AS (SELECT term, cast(round(1000000 * ln(n / df)) AS bigint) AS idf FROM f CROSS JOIN n WHERE 5 * df <= n), b AS ({terms("benchmark", "item_id")}),
+      s AS (SELECT item_id, doc_id, sum(idf) AS score, count(*) AS shared FROM b JOIN w ON b.term = w.term JOIN t ON t.term = w.term GROUP BY item_id, doc_id)
+      SELECT item_id, doc_id, cast(score AS bigint) AS score, shared, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s) AS x WHERE place <= 5"""
+
+
+@plan
+def candidate_pairs(d: Dialect) -> str:
+    """Sparse temporal pairs: each event with the next two of its user, and with the next of its user and type, once each, within a budget a user."""
+    over = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+    return f"""WITH o AS (SELECT user_id, event_id, lead(event_id, 1) {over} AS n1, lead(event_id, 2) {over} AS n2, lead(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS a FROM events),
+      p AS (SELECT user_id, event_id AS left_id, n1 AS right_id, 0 AS reason FROM o UNION ALL SELECT user_id, event_id, n2, 1 FROM o UNION ALL SELECT user_id, event_id, a, 2 FROM o),
+      u AS (SELECT user_id, left_id, right_id, min(reason) AS reason FROM p WHERE right_id IS NOT NULL GROUP BY user_id, left_id, right_id)
+      SELECT user_id, left_id, right_id, reason FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY reason, left_id, right_id) AS k FROM u) AS x WHERE k <= 200"""
+
+
+@plan
+def order_closure(d: Dialect) -> str:
+    """Before-pairs of each conversation: the transitive closure of its turns' successor edges, with the length of the path."""
+    return """WITH RECURSIVE e AS (SELECT conv_id, turn AS a, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+      c AS (SELECT conv_id, a, b, 1 AS hops FROM e WHERE b IS NOT NULL UNION ALL SELECT c.conv_id, c.a, e.b, c.hops + 1 FROM c JOIN e ON c.conv_id = e.conv_id AND c.b = e.a WHERE e.b IS NOT NULL AND c.hops < 64)
+      SELECT conv_id, a AS before_turn, b AS after_turn, min(hops) AS hops FROM c GROUP BY conv_id, a, b"""
+
+
+@plan
+def edge_match(d: Dialect) -> str:
+    """Multiset match of predicted and reference edges: each copy matches once."""
+    return f"""WITH e AS (SELECT event_id, user_id % 20 AS s, event_type AS t FROM events), p AS (SELECT s, t, count(*) AS n FROM e WHERE event_id % 5 <> 0 GROUP BY s, t), r AS (SELECT s, t, count(*) AS n FROM e WHERE event_id % 7 <> 0 GROUP BY s, t),
+      m AS (SELECT coalesce(p.t, r.t) AS t, coalesce(p.n, 0) AS pn, coalesce(r.n, 0) AS rn FROM p FULL JOIN r ON p.s = r.s AND p.t = r.t)
+      SELECT label, {PRF} FROM (SELECT t AS label, cast(sum(least(pn, rn)) AS bigint) AS tp, cast(sum(pn - least(pn, rn)) AS bigint) AS fp, cast(sum(rn - least(pn, rn)) AS bigint) AS fn, 0 AS tn FROM m GROUP BY t) AS x"""
+
+
+@plan
+def facets(d: Dialect) -> str:
+    """Facet counts under a filter, each facet without its own condition."""
+    own = "c_mktsegment = 'BUILDING'"
+    return f"""SELECT 'segment' AS facet, c_mktsegment AS value_, count(*) AS n, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal), 6) AS median_ FROM customer WHERE c_acctbal > 0 AND c_nationkey < 10 GROUP BY c_mktsegment
+      UNION ALL SELECT 'nation', n_name, count(*), round(percentile_cont(0.5) WITHIN GROUP (ORDER BY c_acctbal), 6) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 AND {own} GROUP BY n_name"""
+
+
+@plan
+def assembled_records(d: Dialect) -> str:
+    """Orders with their lines nested, checked for unique line numbers and a known customer, in exploded digest form."""
+    return """SELECT o_orderkey, count(l_orderkey) AS lines_, count(l_orderkey) = count(DISTINCT l_linenumber) AS unique_lines, max(c_custkey) IS NOT NULL AS known_customer, round(sum(l_extendedprice * (1 - l_discount)), 4) AS net,
+      min(l_linenumber) AS first_line, max(l_linenumber) AS last_line FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN customer ON o_custkey = c_custkey GROUP BY o_orderkey"""
+
+
+@plan
+def violations(d: Dialect) -> str:
+    """Rows with the constraints that they break, and where they go."""
+    rules = {"discount_high": "l_discount > 0.08", "early_return": "l_returnflag = 'R' AND l_quantity < 5", "tax_zero": "l_tax = 0", "heavy": "l_quantity >= 45"}
+    cases = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in rules.items())
+    count = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in rules.values())
+    return f"""SELECT l_orderkey, l_linenumber, broken, n, CASE WHEN n >= 2 THEN 'quarantine' WHEN n = 1 THEN 'review' ELSE 'accept' END AS route FROM (SELECT l_orderkey, l_linenumber, concat_ws(',', {cases}) AS broken, {count} AS n FROM lineitem) AS x"""
+
+
+@plan
+def conflicts(d: Dialect) -> str:
+    """Customers with orders of one day whose statuses differ."""
+    return f"""SELECT o_custkey, {d.day("o_orderdate")} AS day_, count(*) AS n, min(o_orderstatus) AS low, max(o_orderstatus) AS high FROM orders GROUP BY o_custkey, {d.day("o_orderdate")} HAVING count(DISTINCT o_orderstatus) > 1"""
+
+
+@plan
+def counter_deltas(d: Dialect) -> str:
+    """Increases of a counter by user; a fall is a reset, after which the new value counts."""
+    return """SELECT user_id, count(*) AS samples, count_if(value < before) AS resets, round(sum(CASE WHEN before IS NULL THEN 0 WHEN value >= before THEN value - before ELSE value END), 6) AS increase
+      FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) AS x GROUP BY user_id"""
+
+
+@plan
+def paired_comparison(d: Dialect) -> str:
+    """Two configurations compared on the ids that both completed."""
+    side = lambda t: f"SELECT user_id, count(*) AS n, sum(value) AS s FROM events WHERE event_type = '{t}' GROUP BY user_id"
+    return f"""SELECT count(*) AS matched, round(sum(a.s), 6) AS first_total, round(sum(b.s), 6) AS second_total, round(sum(a.s) / nullif(sum(b.s), 0), 6) AS ratio, count_if(a.s > b.s) AS first_larger FROM ({side("click")}) AS a JOIN ({side("view")}) AS b ON a.user_id = b.user_id"""
+
+
+@plan
+def latest_attempt(d: Dialect) -> str:
+    """The last row of each key, and its first purchase."""
+    return """SELECT user_id, event_id, event_type, attempts, first_purchase FROM (SELECT user_id, event_id, event_type, count(*) OVER (PARTITION BY user_id) AS attempts, min(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id) AS first_purchase,
+      row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) AS x WHERE k = 1"""
+
+
+@plan
+def page_features(d: Dialect) -> str:
+    """Canonical URL parts and simple markup features."""
+    url = d.replace(d.replace("lower(url)", "[?#].*$", ""), "/+$", "")
+    return f"""SELECT page_id, {url} AS canonical, {d.extract("lower(url)", "^https?://([^/:?#]+)", 1)} AS host, length(html) AS n_html, (length(html) - length(replace(html, '<p', ''))) / 2 AS paragraphs, {d.matches("html", "<script")} AS scripted FROM pages"""
+
+
+@plan
+def license_ladder(d: Dialect) -> str:
+    """An ordered decision on licence words: the first rule that holds decides."""
+    rules = [("restricted", "all rights reserved|proprietary"), ("noncommercial", "non-?commercial|by-nc"), ("permissive", "mit license|apache|bsd|cc0|public domain|creative commons"), ("mentioned", "licen[cs]e|copyright")]
+    ladder = " ".join(f"WHEN {d.matches('lower(text)', p)} THEN '{n}'" for n, p in rules)
+    return f"SELECT decision, lang, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, lang, CASE {ladder} ELSE 'none' END AS decision FROM documents) AS x GROUP BY decision, lang"
+
+
+@plan
+def bucket_ladders(d: Dialect) -> str:
+    """Normalised keys and ordered size groups."""
+    norm = d.replace("lower(trim(p_name))", "[^a-z0-9]+", " ")
+    return f"""SELECT p_partkey, {norm} AS key_, CASE WHEN p_size IS NULL THEN 'unknown' WHEN p_size < 5 THEN 'neonate' WHEN p_size < 18 THEN 'child' WHEN p_size < 40 THEN 'adult' ELSE 'older' END AS group_, cast(floor(p_retailprice / 100) AS bigint) AS price_bin FROM part"""
+
+
+@plan
+def integer_runs(d: Dialect) -> str:
+    """Maximal runs of consecutive days with an event of a user and type."""
+    return f"""WITH d AS (SELECT DISTINCT user_id, cast(day(ts) AS int) AS k FROM events WHERE event_type = 'click'), g AS (SELECT user_id, k, k - row_number() OVER (PARTITION BY user_id ORDER BY k) AS island FROM d)
+      SELECT user_id, min(k) AS first_day, max(k) AS last_day, count(*) AS days_ FROM g GROUP BY user_id, island"""
+
+
+@plan
+def attribute_registry(d: Dialect) -> str:
+    """Every top-level attribute of the semi-structured column, with how many rows have it by type."""
+    return f"""SELECT event_type, key_, count(*) AS n FROM (SELECT event_type, key_ FROM events {d.unnest(d.json_keys("props"), "key_")}) AS x GROUP BY event_type, key_"""
+
+
+@plan
+def resource_mapping(d: Dialect) -> str:
+    """A rule ladder from order facts to resource codes, with the reason where none applies."""
+    return """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'active' WHEN o_orderstatus = 'P' THEN 'on-hold' ELSE 'unknown' END AS status_, CASE WHEN o_orderpriority LIKE '1%' THEN 'stat' WHEN o_orderpriority LIKE '2%' THEN 'urgent' ELSE 'routine' END AS priority_,
+      CASE WHEN o_totalprice <= 0 THEN 'no amount' WHEN c.c_custkey IS NULL THEN 'no subject' END AS unmapped_reason, concat('Order/', cast(o_orderkey AS string)) AS reference_ FROM orders LEFT JOIN customer c ON o_custkey = c.c_custkey"""
+
+
+@plan
+def neighbourhood(d: Dialect) -> str:
+    """Customers beside their nation's mean: an anti-join-free residual with rank."""
+    return """SELECT c_custkey, n_name, round(c_acctbal - avg_bal, 6) AS above, rank() OVER (PARTITION BY n_name ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN (SELECT c_nationkey AS k, avg(c_acctbal) AS avg_bal FROM customer GROUP BY c_nationkey) AS m ON c_nationkey = m.k"""

@@ -1,0 +1,31 @@
+import os
+
+import duckdb
+import pytest
+from caseloom.operators import run
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def plain(v):
+    return float(f"{v:.9g}") if isinstance(v, float) else v
+
+
+@pytest.fixture(scope="module")
+def oracle():
+    con = duckdb.connect()
+    for name in os.listdir(FOLDER):
+        path = f"{FOLDER}/{name}"
+        con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(run.queries()))
+def test_plan_matches_sql(spark, oracle, name):
+    df = run.queries()[name](spark, FOLDER)
+    cols = sorted(df.columns)
+    cur = oracle.execute(run.oracle_sql()[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == cols
+    want = sorted(([plain(r[names.index(c)]) for c in cols] for r in cur.fetchall()), key=repr)
+    assert sorted(([plain(r[c]) for c in cols] for r in df.collect()), key=repr) == want
