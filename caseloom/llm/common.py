@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word: a maximal run of bytes other than ASCII white space.
@@ -32,6 +34,19 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte of all, so that the zeros of small ones compress."""
+    return np.asarray(values).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def block_key(ids: list) -> int:
+    return int.from_bytes(hashlib.blake2b(np.array(ids, np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def digest(col: Column) -> Column:
     """128 bits of a string or binary column."""
     return F.unhex(F.md5(col))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, id_text, shuffle_partitions, small_batches, with_long_id
+from .common import block_key, checkpointed, id_text, planes, shuffle_partitions, small_batches, unplaned, with_long_id
 from .graph import connected_components, with_group
 from .hashing import set_digest, shingle_sets
 
@@ -86,36 +86,44 @@ def promising(rows: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
         to = (unique % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-        name = np.array(ids, np.int64)
+        name, key = np.array(ids, np.int64), block_key(ids)
         out = []
         for q in range(buckets):
             at = order[cuts[q] : cuts[q + 1]]
             if len(at) or not q:
+                at = at[np.argsort(ref[at], kind="stable")]  # in the order of documents, which compresses
                 used, r = np.unique(ref[at][ref[at] != LOCAL], return_inverse=True)
                 short = np.full(len(at), LOCAL, np.uint32)
                 short[ref[at] != LOCAL] = r
-                out.append((q, unique[at].tobytes(), short.tobytes(), name[used].tobytes(), (name[own > 0].tobytes() if not q else b""), (own[own > 0].tobytes() if not q else b"")))
+                # 32 bits beside the bucket: a chance meeting only keeps a document in the race
+                out.append((q, key, (unique[at] >> np.uint64(20)).astype(np.uint32).tobytes(), planes(short), name[used].tobytes(), (name[own > 0].tobytes() if not q else b""), (own[own > 0].tobytes() if not q else b"")))
         cols = [*zip(*out, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["q", "tokens", "ref", "ids", "own_ids", "own"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["q", "block", "tokens", "ref", "ids", "own_ids", "own"])
 
     def answers(table: pa.Table) -> pa.Table:
-        tokens = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
-        refs = [np.frombuffer(x, np.uint32) for x in table["ref"].to_pylist()]
-        whole = np.concatenate(tokens)
-        unique, inverse, counts = np.unique(whole, return_inverse=True, return_counts=True)
+        tokens = [np.frombuffer(x, np.uint32) for x in table["tokens"].to_pylist()]
+        refs = [unplaned(x) for x in table["ref"].to_pylist()]
+        unique, inverse, counts = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
         shared = counts > 1
         shared[inverse[np.concatenate(refs) == LOCAL]] = True
-        shared, at, ids, n = shared[inverse], 0, [], []
-        for ref, name, own_ids, own in zip(refs, table["ids"].to_pylist(), table["own_ids"].to_pylist(), table["own"].to_pylist(), strict=True):
+        shared, at, out = shared[inverse], 0, []
+        for block, ref, name, own_ids, own in zip(*(table[c].to_pylist() if c != "ref" else refs for c in ("block", "ref", "ids", "own_ids", "own")), strict=True):
             name = np.frombuffer(name, np.int64)
             c = np.bincount(ref[shared[at : at + len(ref)] & (ref != LOCAL)], minlength=len(name))
-            ids += [name[c > 0], np.frombuffer(own_ids, np.int64)]
-            n += [c[c > 0], np.frombuffer(own, np.uint32).astype(np.int64)]
+            out.append((block, name[c > 0].tobytes() + own_ids, c[c > 0].astype(np.uint32).tobytes() + own))
             at += len(ref)
-        return pa.table([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(n), pa.int64())], ["doc_id", "shared"])
+        cols = [*zip(*out, strict=True)]
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["block", "ids", "n"])
+
+    def by_document(table: pa.Table) -> pa.Table:
+        """A block's answers, one row a document."""
+        ids, inverse = np.unique(np.frombuffer(b"".join(table["ids"].to_pylist()), np.int64), return_inverse=True)
+        n = np.bincount(inverse, np.frombuffer(b"".join(table["n"].to_pylist()), np.uint32), len(ids)).astype(np.int64)
+        return pa.table([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "shared"])
 
-    asked = rows.mapInArrow(requests, "q int, tokens binary, ref binary, ids binary, own_ids binary, own binary")
-    return asked.groupBy("q").applyInArrow(answers, "doc_id bigint, shared bigint").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    asked = rows.mapInArrow(requests, "q int, block bigint, tokens binary, ref binary, ids binary, own_ids binary, own binary")
+    told = asked.groupBy("q").applyInArrow(answers, "block bigint, ids binary, n binary").groupBy("block").applyInArrow(by_document, "doc_id bigint, shared bigint")
+    return told.groupBy("doc_id").agg(F.sum("shared").alias("shared"))
 
 
 def whole_blocks(rows: DataFrame, k: int) -> DataFrame:
