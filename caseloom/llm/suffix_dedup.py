@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .anchors import runs
-from .common import checkpointed, digest, id_text, shuffle_partitions, small_batches, with_long_id
+from .common import block_key, checkpointed, digest, id_text, planes, shuffle_partitions, small_batches, unplaned, with_long_id
 from .graph import with_group
 
 LENGTH, GRAM = 50, 20
@@ -67,11 +67,11 @@ def shared_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> Dat
             several = np.zeros(group[-1] + 1 if len(group) else 0, bool)
             several[group[1:][(doc[1:] != doc[:-1]) & ~new[1:]]] = True
             here = several[group]
-            name, out = np.array(ids, np.int64), []
+            name, key, out = np.array(ids, np.int64), block_key(ids), []
             if here.any():
                 by_doc = np.argsort(doc[here], kind="stable")
                 used, counts = np.unique(doc[here], return_counts=True)
-                out.append((-1, b"", b"", name[used].tobytes(), counts.astype(np.int64).tobytes(), at[here][by_doc].tobytes()))
+                out.append((-1, key, b"", b"", name[used].tobytes(), counts.astype(np.int64).tobytes(), planes(at[here][by_doc])))
             sent = np.flatnonzero(~here | new)
             to = (h[sent] % np.uint64(buckets)).astype(np.int64)
             by_bucket = np.argsort(to, kind="stable")
@@ -81,41 +81,45 @@ def shared_anchors(rows: DataFrame, length: int, gram: int, buckets: int) -> Dat
                 used, ref = np.unique(doc[k][own], return_inverse=True)
                 short = np.full(len(k), LOCAL, np.uint32)
                 short[own] = ref
-                out.append((q, (h[k] >> np.uint64(20)).astype(np.uint32).tobytes(), short.astype(REF).tobytes() if len(used) < 65535 else short.tobytes(), name[used].tobytes(), b"", planes(at[k])))
+                out.append((q, key, (h[k] >> np.uint64(20)).astype(np.uint32).tobytes(), short.astype(REF).tobytes() if len(used) < 65535 else short.tobytes(), name[used].tobytes(), b"", planes(at[k])))
             if out:
                 cols = [*zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["q", "h", "ref", "ids", "counts", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["q", "block", "h", "ref", "ids", "counts", "at"])
 
     def answers(table: pa.Table) -> pa.Table:
+        names = ["block", "ids", "counts", "at"]
         if table["q"][0].as_py() < 0:  # settled in its block
-            ids, places = [], []
-            for name, counts, at in zip(table["ids"].to_pylist(), table["counts"].to_pylist(), table["at"].to_pylist(), strict=True):
-                name, counts, at = np.frombuffer(name, np.int64), np.frombuffer(counts, np.int64), np.frombuffer(at, np.uint32)
-                ids += name.tolist()
-                places += [p.tobytes() for p in np.split(at, np.cumsum(counts)[:-1])]
-            return pa.table([pa.array(ids, pa.int64()), pa.array(places, pa.binary())], ["doc_id", "places"])
+            return table.select(names)
         hs = [np.frombuffer(x, np.uint32) for x in table["h"].to_pylist()]
         refs = [reference(x, len(y)) for x, y in zip(table["ref"].to_pylist(), hs, strict=True)]
         # one entry for each block and hash; those that were settled in a block count twice
         once = [np.concatenate([np.unique(x), x[r == LOCAL]]) for x, r in zip(hs, refs, strict=True)]
         unique, counts = np.unique(np.concatenate(once), return_counts=True)
         unique = unique[counts > 1]
-        ids, places = [], []
-        for x, r, name, at in zip(hs, refs, table["ids"].to_pylist(), table["at"].to_pylist(), strict=True):
+        out = []
+        for block, x, r, name, at in zip(table["block"].to_pylist(), hs, refs, table["ids"].to_pylist(), table["at"].to_pylist(), strict=True):
             k = np.searchsorted(unique, x)
             hit = k < len(unique)
             hit[hit] = unique[k[hit]] == x[hit]
             hit &= r != LOCAL
             order = np.argsort(r[hit], kind="stable")
-            name, at = np.frombuffer(name, np.int64), unplaned(at)[hit][order]
-            for doc, part in zip(*grouped(r[hit][order], at), strict=True):
-                ids.append(name[doc])
-                places.append(part.tobytes())
-        return pa.table([pa.array(ids, pa.int64()), pa.array(places, pa.binary())], ["doc_id", "places"])
-
-    asked = rows.mapInArrow(requests, "q int, h binary, ref binary, ids binary, counts binary, at binary")
+            used, counts = np.unique(r[hit], return_counts=True)
+            if len(used):
+                out.append((block, np.frombuffer(name, np.int64)[used].tobytes(), counts.astype(np.int64).tobytes(), planes(unplaned(at)[hit][order])))
+        cols = [*zip(*out, strict=True)] or [[]] * 4
+        return pa.table([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names)
+
+    def by_document(table: pa.Table) -> pa.Table:
+        """A block's answers, one row a document."""
+        of: dict[int, list[np.ndarray]] = {}
+        for name, counts, at in zip(table["ids"].to_pylist(), table["counts"].to_pylist(), table["at"].to_pylist(), strict=True):
+            for doc, part in zip(np.frombuffer(name, np.int64).tolist(), np.split(unplaned(at), np.cumsum(np.frombuffer(counts, np.int64))[:-1]), strict=True):
+                of.setdefault(doc, []).append(part)
+        return pa.table([pa.array(of, pa.int64()), pa.array([np.concatenate(x).tobytes() for x in of.values()], pa.binary())], ["doc_id", "places"])
+
+    asked = rows.mapInArrow(requests, "q int, block bigint, h binary, ref binary, ids binary, counts binary, at binary")
     spread = F.when(F.col("q") < 0, -1 - F.pmod(F.xxhash64("ids"), F.lit(4096)).cast("int")).otherwise(F.col("q"))
-    return asked.withColumn("q", spread).groupBy("q").applyInArrow(answers, "doc_id bigint, places binary")
+    return asked.withColumn("q", spread).groupBy("q").applyInArrow(answers, "block bigint, ids binary, counts binary, at binary").groupBy("block").applyInArrow(by_document, "doc_id bigint, places binary")
 
 
 def reference(data: bytes, n: int) -> np.ndarray:
@@ -126,15 +130,6 @@ def reference(data: bytes, n: int) -> np.ndarray:
     return np.where(short == 0xFFFF, LOCAL, short.astype(np.uint32))
 
 
-def planes(values: np.ndarray) -> bytes:
-    """32-bit numbers, byte by byte of all, so that the zeros of small ones compress."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
-
-
 def grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
     """values by sorted keys."""
     if not len(keys):
