@@ -103,9 +103,9 @@ def stratified_hash_sample(d: Dialect) -> str:
 @plan
 def throughput(d: Dialect) -> str:
     """Rates by kind: totals are null when any contribution is null or there is none; a missing divisor counts as 1."""
-    return """SELECT event_type, count(*) AS n, CASE WHEN count(v) = count(*) THEN round(sum(v), 6) END AS total, round(sum(coalesce(w, 1.0)), 6) AS weight, coalesce(round(sum(v), 6), 0.0) AS known_total,
-      round(3600 * count(*) / nullif(sum(coalesce(w, 1.0)), 0), 6) AS per_hour
-      FROM (SELECT event_type, CASE WHEN event_type = 'error' AND user_id % 10 = 0 THEN NULL ELSE value END AS v, CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id * 0.5 END AS w FROM events) AS x GROUP BY event_type"""
+    return """SELECT event_type, count(*) AS n, CASE WHEN count(v) = count(*) THEN round(sum(v), 6) END AS total, round(sum(coalesce(w, cast(1 AS double))), 6) AS weight, coalesce(round(sum(v), 6), cast(0 AS double)) AS known_total,
+      round(3600 * count(*) / nullif(sum(coalesce(w, cast(1 AS double))), 0), 6) AS per_hour
+      FROM (SELECT event_type, CASE WHEN event_type = 'error' AND user_id % 10 = 0 THEN NULL ELSE value END AS v, CASE WHEN user_id % 3 = 0 THEN NULL ELSE cast(user_id * 0.5 AS double) END AS w FROM events) AS x GROUP BY event_type"""
 
 
 @plan
