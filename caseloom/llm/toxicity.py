@@ -183,8 +183,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     by_hash = F.xxhash64(F.lit(1), "doc_id")
     part = lambda y, n: known.where(F.col("y") == y).orderBy(by_hash, "doc_id").limit(n)
     sample = part(1, MOST_TOXIC).unionByName(part(0, MOST_CLEAN))  # so few ids can be broadcast
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("y", "text").collect()
-    return fitted([r.text for r in rows if r.y == 1], [r.text for r in rows if r.y == 0])
+    rows = id_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select(F.lit(0).alias("k"), F.col("y").cast("int").alias("y"), "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        texts: tuple[list[str], list[str]] = ([], [])
+        for y, text in zip(table["y"].to_pylist(), table["text"].to_pylist(), strict=True):
+            texts[y].append(text)
+        net = fitted(texts[1], texts[0])
+        return pa.table([[net.weights.tobytes()], [net.trans.tobytes()], [net.start], [net.empty]], ["weights", "trans", "start", "empty"])
+
+    # on an executor, which has more memory than the driver; the sample's bound is the task's
+    found = rows.groupBy("k").applyInArrow(run, "weights binary, trans binary, start double, empty boolean").first()
+    if found is None:
+        return fitted([], [])
+    return Field(np.frombuffer(found.weights), np.frombuffer(found.trans).reshape(2, 2), found.start, found.empty)
 
 
 def document_scores(net: Field, texts: list[str]) -> tuple[list[float], list[np.ndarray]]:
