@@ -13,7 +13,9 @@ partition, so a rerun over the same files gives the same sequences.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,8 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import id_text, small_batches
+from .token_counts import PIECES, PLAIN, PLAIN_PIECES
 
-WINDOW, OPEN, GROUP, END_ID = 2048, 64, 64, 1
+WINDOW, OPEN, GROUP, END_ID, KEPT_PIECES = 2048, 64, 64, 1, 200_000
 PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -37,17 +40,53 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def encoded(texts: list[str], path: str, chars: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Ids of each text, then the end token; about so many characters at a time."""
-    t, part, held = tokenizer(path), [], 0
-    encode = getattr(t, "encode_batch_fast", t.encode_batch)
-    for k, x in enumerate(texts):
-        part.append(x)
-        held += len(x)
-        if held >= chars or k == len(texts) - 1:
-            for e in encode(part, add_special_tokens=False):
-                yield np.append(np.array(e.ids, "<u4"), np.uint32(END_ID)).astype("<u4")
-            part, held = [], 0
+class Pieces(dict):
+    """The library's ids, as bytes, of pieces that a byte-level vocabulary encodes on their own; a bounded number is kept."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.whole = tokenizer(path)
+        with open(path, encoding="utf-8") as f:
+            table = json.load(f)
+        before, added = table.get("pre_tokenizer") or {}, table.get("added_tokens") or []
+        self.apart = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not table.get("normalizer")
+        self.apart = self.apart and table["model"]["type"] == "BPE" and not any(t[k] for t in added for k in ("lstrip", "rstrip", "single_word"))
+        words = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, words))) if words else None
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.whole.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(piece) < 64:
+            self[piece] = ids
+        return ids
+
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a text, then the end token."""
+        end = np.array([END_ID], "<u4").tobytes()
+        if not self.apart:
+            return np.frombuffer(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end, "<u4")
+        if len(self) > KEPT_PIECES:
+            self.clear()
+        parts, at = [], 0
+        for m in self.added.finditer(text) if self.added else ():
+            parts += [*map(self.__getitem__, split(text[at : m.start()])), self[m[0]]]
+            at = m.end()
+        parts += map(self.__getitem__, split(text[at:] if at else text))
+        return np.frombuffer(b"".join([*parts, end]), "<u4")
+
+
+def split(text: str) -> list[str]:
+    return (PLAIN_PIECES if PLAIN.fullmatch(text) else PIECES).findall(text)
+
+
+@functools.lru_cache(maxsize=2)
+def pieces_at(path: str) -> Pieces:
+    return Pieces(path)
+
+
+def encoded(texts: list[str], path: str) -> Iterator[np.ndarray]:
+    """Ids of each text, then the end token."""
+    return map(pieces_at(path).ids, texts)
 
 
 class Open:

@@ -169,3 +169,11 @@ def test_spotsigs_near_duplicates(docs, rows):
             sets[s] = min(r[0], sets.get(s, r[0]))
     want = sorted((min(x, y), max(x, y)) for (a, x), (b, y) in itertools.combinations(sets.items(), 2) if len(a & b) / len(a | b) >= 0.75)
     assert sorted((r.a, r.b) for r in spotsigs.near_duplicates(docs.where("doc_id is not null")).collect()) == want
+
+
+def test_pieces_give_the_library_s_ids(rows):
+    own = packing.Pieces(PATH)
+    texts = [t for _, t, *_ in rows if t] + ["", "<|endoftext|> a<|endoftext|>", "it's  two\n\n lines ", "naïve ÄÖ ß 漢字 ١٢٣ \u00a0x\u2028y", "a" * 300, "!!'s 'll'"]
+    assert own.apart
+    for t in texts:
+        assert own.ids(t).tolist() == [*packing.tokenizer(PATH).encode(t, add_special_tokens=False).ids, packing.END_ID]
