@@ -144,7 +144,8 @@ def edited_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in batches:
             yield results(b.column("doc_id").to_pylist(), [*zip(b.column("text").to_pylist(), b.column("after").to_pylist(), strict=True)], b.schema.field("doc_id").type)
 
-    edge = rows.mapInArrow(ends, f"pid int, doc_id {kind}, text string, head string")
+    # an exchange of its own: in one stage with the union below, partitions would be numbered after those of its other side
+    edge = rows.mapInArrow(ends, f"pid int, doc_id {kind}, text string, head string").repartition(shuffle_partitions(spark), "pid")
     numbers = edge.select("pid").agg(F.sort_array(F.collect_list("pid")).alias("pids"))  # one number a partition
     follow = edge.select("pid", "doc_id", "text").crossJoin(numbers).withColumn("to", F.expr("element_at(pids, cast(array_position(pids, pid) % size(pids) as int) + 1)"))
     joined = follow.join(edge.select(F.col("pid").alias("to"), F.col("head").alias("after")), "to").select("doc_id", "text", "after")
