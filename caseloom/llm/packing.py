@@ -19,6 +19,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import id_text, small_batches
-from .token_counts import PIECES, PLAIN, PLAIN_PIECES
+from .token_counts import LETTERS, PIECES, PLAIN, PLAIN_PIECES
 
-WINDOW, OPEN, GROUP, END_ID, KEPT_PIECES = 2048, 64, 64, 1, 200_000
+WINDOW, OPEN, GROUP, END_ID, KEPT_PIECES, AT_ONCE, CALL = 2048, 64, 64, 1, 400_000, 1 << 16, 200
+#: Such pieces laid end to end are split into the same pieces again, so many are encoded in one call.
+SPACED = re.compile(f" [{LETTERS}]{{1,62}}")
 PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -53,6 +56,9 @@ class Pieces(dict):
         self.apart = self.apart and table["model"]["type"] == "BPE" and not any(t[k] for t in added for k in ("lstrip", "rstrip", "single_word"))
         words = sorted((t["content"] for t in added), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, words))) if words else None
+        vocab = self.whole.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[k for w, k in vocab.items() if w.startswith("\u0120")]] = True
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.whole.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
@@ -60,19 +66,36 @@ class Pieces(dict):
             self[piece] = ids
         return ids
 
-    def ids(self, text: str) -> np.ndarray:
-        """Ids of a text, then the end token."""
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes pieces ahead, those of a space and letters CALL at a time; the rest is left to __missing__."""
+        words = [*filter(SPACED.fullmatch, pieces)]
+        for k in range(0, len(words), CALL):
+            own = words[k : k + CALL]
+            text = "".join(own)
+            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+            at = (4 * np.flatnonzero(self.begins[ids])).tolist()
+            if len(at) == len(own) and not (self.added and self.added.search(text)):
+                data = ids.tobytes()
+                self.update((w, data[i:j]) for w, i, j in zip(own, at, [*at[1:], len(data)], strict=True))
+
+    def split(self, text: str) -> list[str]:
+        """Added strings of the vocabulary and the pieces between them."""
+        parts, at = [], 0
+        for m in self.added.finditer(text) if self.added else ():
+            parts += [*split(text[at : m.start()]), m[0]]
+            at = m.end()
+        return parts + split(text[at:] if at else text)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, then the end token."""
         end = np.array([END_ID], "<u4").tobytes()
         if not self.apart:
-            return np.frombuffer(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end, "<u4")
+            return [np.array([*self.whole.encode(t, add_special_tokens=False).ids, END_ID], "<u4") for t in texts]
         if len(self) > KEPT_PIECES:
             self.clear()
-        parts, at = [], 0
-        for m in self.added.finditer(text) if self.added else ():
-            parts += [*map(self.__getitem__, split(text[at : m.start()])), self[m[0]]]
-            at = m.end()
-        parts += map(self.__getitem__, split(text[at:] if at else text))
-        return np.frombuffer(b"".join([*parts, end]), "<u4")
+        parts = [*map(self.split, texts)]
+        self.learn(set(filterfalse(self.__contains__, chain.from_iterable(parts))))
+        return [np.frombuffer(b"".join([*map(self.__getitem__, p), end]), "<u4") for p in parts]
 
 
 def split(text: str) -> list[str]:
@@ -85,8 +108,15 @@ def pieces_at(path: str) -> Pieces:
 
 
 def encoded(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """Ids of each text, then the end token."""
-    return map(pieces_at(path).ids, texts)
+    """Ids of each text, then the end token; texts are taken together up to AT_ONCE characters."""
+    known, some, n = pieces_at(path), [], 0
+    for text in texts:
+        if some and n + len(text) > AT_ONCE:
+            yield from known.ids(some)
+            some, n = [], 0
+        some.append(text)
+        n += len(text)
+    yield from known.ids(some) if some else ()
 
 
 class Open:
