@@ -7,7 +7,8 @@ min(weight * level, cap), and the level follows from a running sum over the sour
 A document is taken floor(target / source size) times, and once more if it lies in the fraction left: documents stand
 in a seeded order, cut into HASH_BUCKETS ranges of the hash; ranges below the cut are taken whole, and only the range
 that the cut falls into is ordered, so no task orders a source. The taken size misses a target by half a document at
-most.
+most. Rows outside that range are decided where they lie: the table of sources is broadcast if it has at most
+MOST_NAMES bytes of names and MOST_SOURCES rows, else joined by source and SALTS salts.
 
 Null and empty texts have size 0 and are taken 0 words. A null source is a source of its own. Repeated rows count as
 often as they occur. Only the id, text and source columns are read. A corpus without words gives targets of 0.
@@ -17,9 +18,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import WORD
+from .common import WORD, checkpointed
 
 EPOCHS, SEED, HASH_BUCKETS = 3, 20, 1024
+MOST_SOURCES, MOST_NAMES, SALTS = 100_000, 1 << 23, 64
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS) -> DataFrame:
@@ -55,26 +57,38 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     ).withColumn("b", F.pmod(F.shiftright("h", 40), F.lit(HASH_BUCKETS)))
     buckets = rows.groupBy("source", "b").agg(F.sum("size").alias("bucket_size"))
     sources = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, epochs)
-    running = W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    below = buckets.withColumn("below", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)))
+    running = W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = buckets.withColumn("upto", F.sum("bucket_size").over(running))
     share = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    cut = (
-        below.alias("x")
+    beyond = F.col("upto") > F.col("left")
+    plan = checkpointed(
+        upto.alias("x")
         .join(sources.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source")))
-        .select("x.source", "x.b", "x.below", "y.source_size", "y.target")
+        .select("x.source", "x.b", "x.upto", "x.bucket_size", "y.source_size", "y.target")
         .withColumn("whole", F.floor(share + 1e-12))
         .withColumn("left", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
+        .groupBy("source", "source_size", "target", "whole", "left")
+        .agg(F.min(F.when(beyond, F.struct("b", (F.col("upto") - F.col("bucket_size")).alias("below")))).alias("cut"))
+        .select("source", "source_size", "target", "whole", "left", F.coalesce("cut.b", F.lit(HASH_BUCKETS)).alias("cut"), F.coalesce("cut.below", F.lit(0)).alias("below"))
     )
-    order = W.partitionBy("source", "b").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    once_more = (F.col("below") + F.col("inside") + F.col("size") / 2 <= F.col("left")) & (F.col("whole") < epochs)
-    return (
-        placed.alias("p")
-        .join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")) & (F.col("p.b") == F.col("c.b")))
-        .withColumn("repeats", F.col("whole") + once_more.cast("bigint"))
-        .select("doc_id", F.col("p.source").alias("source"), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).cast("bigint").alias("taken"), *(["row"] if keep else []))
-    )
+    known = by_source(rows, plan)
+    again = F.col("whole") < epochs
+    apart = known.where("b <> cut").withColumn("repeats", F.col("whole") + (again & (F.col("b") < F.col("cut"))).cast("bigint"))
+    order = W.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("size").over(order), F.lit(0))
+    within = known.where("b = cut").withColumn("repeats", F.col("whole") + (again & (F.col("below") + inside + F.col("size") / 2 <= F.col("left"))).cast("bigint"))
+    return apart.unionByName(within).select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).cast("bigint").alias("taken"), *(["row"] if keep else []))
+
 
+def by_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with their source's plan: without a shuffle of the rows if the plan is small, and with salted sources if not."""
+    n, names = plan.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("source").cast("string"))), F.lit(0))).first()
+    plan = plan.withColumnRenamed("source", "of")
+    same = F.col("source").eqNullSafe(F.col("of"))
+    if n <= MOST_SOURCES and names <= MOST_NAMES:
+        return rows.join(F.broadcast(plan), same).drop("of")
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("own", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, same & (F.col("own") == F.col("salt"))).drop("of", "own", "salt")
 
 
 def applied(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:

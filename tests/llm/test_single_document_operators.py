@@ -47,7 +47,7 @@ def test_packing(docs, clashing, none, rows):
     assert packing.pack(none, PATH).count() == 0
 
 
-def test_mixing(docs, clashing, none, rows):
+def test_mixing(docs, clashing, none, rows, monkeypatch):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     own = defaultdict(int)
     for r in rows:
@@ -72,6 +72,9 @@ def test_mixing(docs, clashing, none, rows):
         assert abs(sum(r.taken for r in mine) - target[s]) <= max(r.size for r in mine)
     assert got(mixing.mix(docs)) == got(mixing.mix(docs.repartition(5)))
     assert mixing.mix(none).count() == 0
+    plain = got(mixing.mix(docs))
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
+    assert got(mixing.mix(docs)) == plain
     assert {r.target for r in mixing.mix(docs.where("text is null or text = ''")).collect()} == {0.0}
 
 
@@ -176,4 +179,4 @@ def test_pieces_give_the_library_s_ids(rows):
     texts = [t for _, t, *_ in rows if t] + ["", "<|endoftext|> a<|endoftext|>", "it's  two\n\n lines ", "naïve ÄÖ ß 漢字 ١٢٣ \u00a0x\u2028y", "a" * 300, "!!'s 'll'"]
     assert own.apart
     for t in texts:
-        assert own.ids(t).tolist() == [*packing.tokenizer(PATH).encode(t, add_special_tokens=False).ids, packing.END_ID]
+        assert own.ids([t, "", t])[2].tolist() == [*packing.tokenizer(PATH).encode(t, add_special_tokens=False).ids, packing.END_ID]
