@@ -2,8 +2,11 @@
 
 Labels are given for documents only, so training first marks tokens: words that tell toxic from clean training documents
 are picked greedily, each for the toxic documents that no earlier word explains, then the other frequent ones, and their
-places in toxic documents are the toxic tokens. The field has two states, features of the word itself (identity, prefix, suffix, length) and learned
-transitions; it is trained on windows around toxic tokens and on windows of clean documents. Forward-backward marginals of all
+places in toxic documents are the toxic tokens. Then, language by language, pieces of words (4-7 characters with the word's edges) are picked
+that make up a share of a text's words in toxic documents and hardly ever in clean ones; where they make up that share, in any document,
+the words with them are toxic tokens, elsewhere not. The field has two states, features of the word itself (identity, prefix, suffix, length)
+or, where it has picked pieces, of their share of the whole text, and learned transitions; it is trained on windows around toxic tokens, around words with
+picked pieces in other documents, and on windows of clean documents, all spread over whole texts. Forward-backward marginals of all
 tokens of a whole text give its score, the largest marginal, and the offsets of runs of tokens at or above one half.
 
 Fitting reads at most MOST_TOXIC and MOST_CLEAN labelled texts, chosen by hash of the id; scoring reads every text.
@@ -14,6 +17,7 @@ of any length is scored as one chain, its forward and backward messages computed
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -28,31 +32,58 @@ from .common import id_text, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 MOST_TOXIC, MOST_CLEAN, MOST_SEEDS, SLOTS, REACH, EPOCHS, KEPT = 1500, 3000, 400, 1 << 16, 8, 60, 300_000
+#: Shares of a text's words that a piece is judged at, the least part of a language's toxic documents it must have it in, and the largest of its clean ones.
+SHARES, COVERS, STRAYS = (0.005, 0.0075, 0.01, 0.0125, 0.015, 0.02), 0.1, 0.01
 
 
-def features(word: str) -> list[int]:
+def slot(key: str) -> int:
+    return zlib.crc32(key.encode()) % SLOTS
+
+
+def pieces(word: str) -> set[str]:
+    x = f"^{word}$"
+    return {x[i : i + n] for n in range(4, 8) for i in range(len(x) - n + 1)}
+
+
+def features(word: str, found: list[str] | tuple = (), full: list[str] | tuple = ()) -> list[int]:
+    """found: picked pieces of the word, which then tell instead of its spelling; full: those that have their share of the text."""
+    if found:
+        return [slot(f"{'d' if x in full else 'z'}:{x}") for x in found]
     keys = (f"w:{word}", f"p:{word[:3]}", f"s:{word[-3:]}", f"n:{min(len(word), 12)}")
-    return [zlib.crc32(k.encode()) % SLOTS for k in keys]
+    return [slot(k) for k in keys]
 
 
 @dataclass
 class Field:
-    """weights: of state 1 against state 0, by feature slot; trans: log potentials from state to state; start: of state 1."""
+    """weights: of state 1 against state 0, by feature slot; trans: log potentials from state to state; start: of state 1; picked: pieces with the share they tell from."""
 
     weights: np.ndarray
     trans: np.ndarray
     start: float
     empty: bool = False
+    picked: dict[str, float] = field(default_factory=dict)
     known: dict[str, float] = field(default_factory=dict)
+    carried: dict[str, list[str]] = field(default_factory=dict)
 
     def emission(self, word: str) -> float:
         if (e := self.known.get(word)) is None:
             if len(self.known) > KEPT:
                 self.known.clear()
-            e = float(self.weights[features(word)].sum())
+            found = [x for x in self.picked if x in f"^{word}$"]
+            e = float(self.weights[features(word, found)].sum())
             self.known[word] = e
+            if found:
+                self.carried[word] = found
         return e
 
+    def emissions(self, words: list[str]) -> list[float]:
+        known, carried = self.known, self.carried
+        out = [known[w] if w in known else self.emission(w) for w in words]
+        own = [(k, carried[w]) for k, w in enumerate(words) if w in carried]
+        for k, found in dense(own, len(words), self.picked).items():
+            out[k] = float(self.weights[features(words[k], carried[words[k]], found)].sum())
+        return out
+
     def marginals(self, emissions: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Of state 1, for chains laid end to end; first: true where a chain begins."""
         return chained(emissions, first, np.exp(self.trans), self.start)
@@ -119,39 +150,112 @@ def telling_words(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     return chosen | {w for w, c in often.items() if c >= max(least, 0.05 * len(toxic))}
 
 
-def unlike(texts: list[str]) -> list[str]:
-    """Without copies: texts whose beginning or middle an earlier one has would count the same words again."""
+def dense(own: list[tuple[int, list[str]]], n: int, picked: dict[str, float]) -> dict[int, list[str]]:
+    """Of the places of words with picked pieces in a text of n words, those with pieces that have their share of it, and are in two words or more."""
+    counts = Counter(x for _, found in own for x in found)
+    full = {x for x, c in counts.items() if c > 1 and c >= picked[x] * n}
+    return {k: here for k, found in own if (here := [x for x in found if x in full])} if full else {}
+
+
+def telling_pieces(toxic: list[tuple[str, list[str]]], clean: list[tuple[str, list[str]]], seeds: set[str]) -> dict[str, float]:
+    """For each language, greedily, the piece and share that most toxic documents yet unexplained reach, less ten times the part of clean ones.
+
+    Seeds that a third of a language's toxic documents have explain their documents.
+    """
+    split: dict[str, list[str]] = {}
+
+    def shares(words: list[str], only: set[str] | None = None) -> dict[str, int]:
+        """Pieces with the number of SHARES that they reach."""
+        counts: Counter = Counter()
+        for w, c in Counter(words).items():
+            if (own := split.get(w)) is None:
+                own = split[w] = [x for x in pieces(w) if only is None or x in only]
+            for x in own:
+                counts[x] += c
+        least = max(2, SHARES[0] * len(words))
+        return {x: sum(c >= s * len(words) for s in SHARES) for x, c in counts.items() if c >= least}
+
+    chosen: dict[str, float] = {}
+    reached = [(lang, shares(d)) for lang, d in toxic]
+    sizes = Counter(lang for lang, _ in toxic)
+    had = Counter((lang, x) for lang, own in reached for x in own)
+    seen = Counter((lang, w) for lang, d in toxic for w in seeds.intersection(d))
+    plain = [any(3 * seen[lang, w] >= sizes[lang] for w in seeds.intersection(d)) for lang, d in toxic]
+    able = {x for (lang, x), c in had.items() if c >= max(3, COVERS * sizes[lang])}
+    split.clear()
+    held, strays = Counter(lang for lang, _ in clean), Counter()
+    for lang, d in clean:
+        strays.update((lang, x, k) for x, n in shares(d, able).items() for k in range(n))
+    stray = lambda x, k: max((strays[lang, x, k] / n for lang, n in held.items()), default=0.0)
+    for lang in sorted(sizes):
+        left = [{x: n for x, n in own.items() if x in able} for (of, own), p in zip(reached, plain, strict=True) if of == lang and not p]
+        least = max(3, COVERS * sizes[lang])
+        while True:
+            counts = Counter((x, k) for own in left for x, n in own.items() for k in range(n))
+            worth = {(x, k): c / sizes[lang] - 10 * s for (x, k), c in counts.items() if c >= least and (s := stray(x, k)) <= STRAYS}
+            if not worth:
+                break
+            x, k = min(worth, key=lambda g: (-worth[g], -len(g[0]), g))
+            chosen[x] = min(SHARES[k], chosen.get(x, 1.0))
+            left = [own for own in left if own.get(x, 0) <= k]
+    return chosen
+
+
+def unlike(texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Without copies: texts (of a language) whose beginning or middle an earlier one has would count the same words again."""
     seen: set[str] = set()
     out = []
-    for t in sorted(set(texts)):
+    for lang, t in sorted(set(texts), key=lambda x: (x[1], x[0])):
         keys = {t[:80], t[len(t) // 2 :][:80]}
         if not keys & seen:
-            out.append(t)
+            out.append((lang, t))
         seen |= keys
     return out
 
 
-def fitted(toxic: list[str], clean: list[str]) -> Field:
-    bad = [WORD.findall(t.lower()) for t in unlike(toxic)]
-    good = [WORD.findall(t.lower()) for t in unlike(clean)]
-    seeds = telling_words(bad, good)
+def spread(at: list[int], most: int) -> list[int]:
+    """At most so many of the places, from the first to the last at even steps."""
+    return at[:: -(-len(at) // most)] if at else []
+
+
+def fitted(toxic: list[tuple[str, str]], clean: list[tuple[str, str]]) -> Field:
+    """Texts with their languages."""
+    bad = [(lang, WORD.findall(t.lower())) for lang, t in unlike(toxic)]
+    good = [(lang, WORD.findall(t.lower())) for lang, t in unlike(clean)]
+    seeds = telling_words([d for _, d in bad], [d for _, d in good])
     off = Field(np.zeros(1), np.zeros((2, 2)), 0.0, empty=True)
-    if not seeds:
+    picked = telling_pieces(bad, good, seeds)
+    if not seeds and not picked:
         return off
-    windows, width = [], 2 * REACH + 1
-    for d in bad:
-        at = [k for k, w in enumerate(d) if w in seeds]
-        windows += [d[max(0, k - REACH) : k + REACH + 1] for k in at[:20]]
-    clean_windows = [d[k : k + width] for d in good for k in range(0, min(len(d), 40 * width), 5 * width)]
+    carried: dict[str, list[str]] = {}
+
+    def typed(words: list[str]) -> list[tuple[str, tuple[str, ...]]]:
+        """Words with the picked pieces that have their share of the text."""
+        for w in words:
+            if w not in carried:
+                carried[w] = [x for x in picked if x in f"^{w}$"]
+        full = dense([(k, carried[w]) for k, w in enumerate(words) if carried[w]], len(words), picked)
+        return [(w, tuple(full.get(k, ()))) for k, w in enumerate(words)]
+
+    windows, near, clean_windows, width = [], [], [], 2 * REACH + 1
+    around = lambda d, at: [d[max(0, k - REACH) : k + REACH + 1] for k in spread(at, 20)]
+    for d in (typed(words) for _, words in bad):
+        windows += around(d, [k for k, (w, full) in enumerate(d) if full or w in seeds and not carried[w]])
+    for d in (typed(words) for _, words in good):
+        near += around(d, [k for k, (w, _) in enumerate(d) if carried[w]])
+        clean_windows += [d[k : k + width] for k in spread(list(range(0, len(d), 5 * width)), 8)]
     rng = np.random.default_rng(7)
     keep = rng.permutation(len(clean_windows))[: max(2000, 2 * len(windows))]
-    windows += [clean_windows[k] for k in keep]
+    windows += near + [clean_windows[k] for k in keep]
     y = np.zeros((len(windows), width))
     mask = np.zeros((len(windows), width), bool)
-    slots = np.zeros((len(windows), width, 4), np.int64)
+    kinds: dict[tuple[str, tuple[str, ...]], int] = {}
+    kind = np.zeros((len(windows), width), np.int64)
     for r, ws in enumerate(windows):
-        for c, w in enumerate(ws):
-            y[r, c], mask[r, c], slots[r, c] = w in seeds, True, features(w)
+        for c, (w, full) in enumerate(ws):
+            y[r, c], mask[r, c], kind[r, c] = bool(full) or w in seeds and not carried[w], True, kinds.setdefault((w, full), len(kinds))
+    own = [features(w, carried[w], full) for w, full in kinds]
+    slots, owner = np.concatenate([np.array(x) for x in own]), np.repeat(np.arange(len(own)), [len(x) for x in own])
     weights, grad2 = np.zeros(SLOTS), np.full(SLOTS, 1e-3)
     stay = np.zeros((2, 2))
     pairs = (mask[:, :-1] & mask[:, 1:])[..., None, None]
@@ -164,47 +268,50 @@ def fitted(toxic: list[str], clean: list[str]) -> Field:
     first = np.zeros((len(windows), width), bool)
     first[:, 0] = True
     for _ in range(EPOCHS):
-        e = np.where(mask, weights[slots].sum(-1), 0.0)
+        e = np.where(mask, np.bincount(owner, weights[slots], len(own))[kind], 0.0)
         p = chained(e.reshape(-1), first.reshape(-1), np.exp(trans), start).reshape(y.shape)
         miss = np.where(mask, y - p, 0.0)
-        g = np.bincount(slots.reshape(-1), np.repeat(miss.reshape(-1), 4), SLOTS) - 0.02 * weights
+        g = np.bincount(slots, np.bincount(kind.reshape(-1), miss.reshape(-1), len(own))[owner], SLOTS) - 0.02 * weights
         grad2 += g * g
         weights += 0.5 * g / np.sqrt(grad2)
-    return Field(weights, trans, start)
+    return Field(weights, trans, start, picked=picked)
 
 
 def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """Fits on labelled rows that are not held out, MOST_TOXIC and MOST_CLEAN of them at most."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang") -> Field:
+    """Fits on labelled rows that are not held out, MOST_TOXIC and MOST_CLEAN of them at most. Without lang_col all are of one language."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).where(~held_out(F.col("doc_id"))).distinct()
     by_hash = F.xxhash64(F.lit(1), "doc_id")
     part = lambda y, n: known.where(F.col("y") == y).orderBy(by_hash, "doc_id").limit(n)
     sample = part(1, MOST_TOXIC).unionByName(part(0, MOST_CLEAN))  # so few ids can be broadcast
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select(F.lit(0).alias("k"), F.col("y").cast("int").alias("y"), "text")
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(sample), "doc_id").select(F.lit(0).alias("k"), F.col("y").cast("int").alias("y"), "text", "lang")
 
     def run(table: pa.Table) -> pa.Table:
-        texts: tuple[list[str], list[str]] = ([], [])
-        for y, text in zip(table["y"].to_pylist(), table["text"].to_pylist(), strict=True):
-            texts[y].append(text)
+        texts: tuple[list[tuple[str, str]], list[tuple[str, str]]] = ([], [])
+        for y, text, of in zip(table["y"].to_pylist(), table["text"].to_pylist(), table["lang"].to_pylist(), strict=True):
+            texts[y].append((of, text))
         net = fitted(texts[1], texts[0])
-        return pa.table([[net.weights.tobytes()], [net.trans.tobytes()], [net.start], [net.empty]], ["weights", "trans", "start", "empty"])
+        return pa.table([[net.weights.tobytes()], [net.trans.tobytes()], [net.start], [net.empty], [json.dumps(net.picked)]], ["weights", "trans", "start", "empty", "picked"])
 
     # on an executor, which has more memory than the driver; the sample's bound is the task's
-    found = rows.groupBy("k").applyInArrow(run, "weights binary, trans binary, start double, empty boolean").first()
+    found = rows.groupBy("k").applyInArrow(run, "weights binary, trans binary, start double, empty boolean, picked string").first()
     if found is None:
         return fitted([], [])
-    return Field(np.frombuffer(found.weights), np.frombuffer(found.trans).reshape(2, 2), found.start, found.empty)
+    return Field(np.frombuffer(found.weights), np.frombuffer(found.trans).reshape(2, 2), found.start, found.empty, json.loads(found.picked))
 
 
 def document_scores(net: Field, texts: list[str]) -> tuple[list[float], list[np.ndarray]]:
     """The largest marginal of each text, and all of them by token."""
     if net.empty:
         return [0.0] * len(texts), [np.zeros(0)] * len(texts)
-    known = net.known
-    rows = [[known[w] if w in known else net.emission(w) for w in WORD.findall(t.lower())] for t in texts]
+    if len(net.carried) > KEPT:
+        net.known.clear()
+        net.carried.clear()
+    rows = [net.emissions(WORD.findall(t.lower())) for t in texts]
     sizes = np.array([len(r) for r in rows], np.int64)
     ends = np.cumsum(sizes)
     first = np.zeros(int(sizes.sum()), bool)
@@ -217,7 +324,7 @@ def scored(df: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
     """doc_id, score, predicted, spans (array of start, end in code points, marginal) of each row."""
     small_batches(df.sparkSession)
     base = id_text(df, id_col, text_col)
-    shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.trans, model.start, model.empty))
+    shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.trans, model.start, model.empty, model.picked))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +356,7 @@ def runs(text: str, p: np.ndarray) -> list[dict]:
 def filtered(df: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
     """Rows of df, all columns, whose text scores under one half; decided where the rows lie, so nothing is joined."""
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.trans, model.start, model.empty))
+    shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.trans, model.start, model.empty, model.picked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Field(*shared.value)
