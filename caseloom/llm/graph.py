@@ -6,24 +6,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpointed
 
-HOT, SALTS, STARS = 256, 64, 8
+#: A key has one salt for each of so many parts of all members that it has, so at most twice as many pairs of key and salt are hot.
+SHARES = 1 << 14
+STARS = 8
 
 
 def with_group(rows: DataFrame, groups: DataFrame, key: str, salt: Column) -> DataFrame:
-    """rows with the columns of their group; groups: one row for each key, `members` telling how many rows it has.
+    """rows with the columns of their group, nulls without one; groups: one row for each key, `members` telling how many rows it has.
 
-    Groups of more than HOT members are joined on the key and one of SALTS salts, the others on the key alone, so no task
-    gets all rows of a hot key. Rows without a group keep nulls.
+    Keys with more than one of SHARES parts of all members are hot: fewer than SHARES of them exist, whatever the input, so their list is
+    broadcast. Rows of a hot key are dealt over as many salts as it has parts, so no task gets more than its share of them,
+    rows without a key likewise, and all others over their key alone, in one exchange.
     """
     rest = [c for c in groups.columns if c not in (key, "members")]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
-    hot = groups.where(F.col("members") > HOT).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    mild = groups.where(F.col("members") <= HOT)
-    first = salted.join(hot.select(key, "_salt", *(F.col(c).alias(f"_hot_{c}") for c in rest)), [key, "_salt"], "left")
-    found = F.col(f"_hot_{rest[0]}").isNotNull()
-    # rows that were found in a hot group go through the second join under keys of their own
-    second = first.withColumn("_key", F.when(~found, F.col(key))).join(mild.select(F.col(key).alias("_key"), *rest), "_key", "left")
-    return second.select(*rows.columns, *(F.coalesce(f"_hot_{c}", c).alias(c) for c in rest))
+    # all columns are asked for, so that every use of the groups has the same exchange below it
+    whole = groups.where(" and ".join(f"{c} is not null" for c in ("members", *rest)))
+    total = whole.agg(F.sum("members").alias("_all"))
+    hot = whole.crossJoin(F.broadcast(total)).select(key, F.ceil(F.col("members") * SHARES / F.col("_all")).cast("int").alias("_cuts")).where("_cuts > 1")
+    # renamed: rows and groups may come from one frame
+    hot = hot.select(F.col(key).alias("_hot"), F.col("_cuts"))
+    salted = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(salt), F.lit(SHARES))).otherwise(F.coalesce(F.pmod(F.xxhash64(salt), F.col("_cuts")), F.lit(0))).cast("int")).drop("_hot", "_cuts")
+    dealt = groups.select(F.col(key).alias("_of"), *rest).join(F.broadcast(hot), F.col("_of") == F.col("_hot"), "left")
+    dealt = dealt.select("_of", *rest, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_cuts"), F.lit(1)) - 1)).alias("_part"))
+    return salted.join(dealt, (F.col(key) == F.col("_of")) & (F.col("_salt") == F.col("_part")), "left").select(*rows.columns, *rest)
 
 
 def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -32,14 +37,14 @@ def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     return salted.join(least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(STARS - 1)))), ["a", "_salt"])
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) -> node, component (the smallest node reachable), for nodes that have an edge to another.
 
-    Alternating large and small stars: each round is two joins with pre-aggregated minima, its lineage cut.
+    Alternating large and small stars until a round changes nothing: each round is two joins with pre-aggregated minima, its lineage cut.
     """
     e = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
         large = with_least(both.where("b > a"), both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = with_least(large, large.groupBy("a").agg(F.min("b").alias("m"))).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -10,6 +10,7 @@ import numpy as np
 
 _rng = np.random.default_rng(12)
 _TABLE = _rng.integers(1, 1 << 63, 256, np.uint64)
+EXACT = _TABLE.copy()
 _TABLE[65:91] = _TABLE[97:123]  # A-Z as a-z
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACES = _rng.integers(1, 1 << 63, 16, np.uint64) | np.uint64(1)
@@ -36,36 +37,42 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _segment(data: bytes) -> np.ndarray:
+def _segment(data: bytes, table: np.ndarray) -> np.ndarray:
+    """Hash, start and end of each word."""
     buf = np.frombuffer(data, np.uint8)
     n = len(buf)
     space = np.concatenate([[True], _SPACE[buf], [True]])
     starts = np.flatnonzero(space[:-1] & ~space[1:])[: n + 1]
     ends = np.flatnonzero(~space[:-1] & space[1:])
     power, inverse = powers(n + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[buf] * power[:n])])
-    return np.stack([mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts.astype(np.uint64)])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[buf] * power[:n])])
+    return np.stack([mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts.astype(np.uint64), ends.astype(np.uint64)])
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words (runs of bytes other than white space, A-Z lower-cased), end to end, and their number in each text."""
-    parts = [t.encode() for t in texts]
+    return places([t.encode() for t in texts])[:2]
+
+
+def places(parts: list[bytes], table: np.ndarray = _TABLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Of the words of all texts, end to end: hashes, their number in each text, starts and ends in the texts joined by line feeds, and that text."""
     data = b"\n".join(parts)
     begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
-    hashes, where, at = [], [], 0
+    hashes, where, until, at = [], [], [], 0
     while at < len(data):
         end = min(len(data), at + SEGMENT)
         if end < len(data):
             m = _BREAK.search(data, end)
             end = m.start() if m else len(data)
-        h, s = _segment(data[at:end])
+        h, s, e = _segment(data[at:end], table)
         hashes.append(h)
         where.append(s.astype(np.int64) + at)
+        until.append(e.astype(np.int64) + at)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    where = np.concatenate(where)
-    return np.concatenate(hashes), np.diff(np.searchsorted(where, begins))
+        return np.zeros(0, np.uint64), np.zeros(len(parts), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), data
+    starts = np.concatenate(where)
+    return np.concatenate(hashes), np.diff(np.searchsorted(starts, begins)), starts, np.concatenate(until), data
 
 
 def shingle_sets(texts: list[str], k: int = 5) -> Iterator[np.ndarray]:

@@ -1,19 +1,21 @@
-"""Line dedup by winnowing: shared window minima of line hashes, extended both ways, give repeated runs; later ones go.
+"""Line dedup by winnowing: fingerprints of line pieces find equal places, matches are extended both ways, later runs go.
 
-A text's lines, without white space at their ends, are hashed, blank ones left out. Grams of `gram` lines are winnowed: of each
-`window` neighbouring grams the lowest hash is kept (the rightmost of equals), so any two equal runs of at least
-gram + window - 1 lines keep a gram at the same place. Places of grams that occur once go. Around each other place, every way to extend
-it to that many lines is a key; of equal keys (over min_chars characters) the first by doc_id, then place, is the original
-and the lines of all others are removed. Longer repeats are unions of such runs.
+Lines are cut into pieces at words that the text itself chooses: of each WINDOW neighbouring words the least one (by its first
+eight bytes, the rightmost of equals) begins a piece, and so does the first word of a line. Equal passages are then cut alike
+wherever they begin, in a line or across lines. Piece hashes are winnowed: of each two neighbours the lower is a fingerprint,
+so any two equal pieces in a row share one. Fingerprints that occur once go. Around the others, each pair of neighbouring pieces is
+joined with the first place (by doc_id, then word) of an equal pair; later ones overlap to runs. A run of at least min_words words
+is extended word by word both ways, by up to WINDOW words, against the words around its first place, and removed.
 
-Blank lines and the rest of a text stay as they are. Null text is empty. Rows with a null doc_id are kept whole and repeat
-nothing. Equal rows of one doc_id are one document. Only the id and text columns are read. Hot lines are pre-aggregated and their
-groups salted, and no task holds more than single documents.
+A passage of 3 * WINDOW words or more, wherever it begins, holds whole pieces of more than its length less 2 * WINDOW words, so with 16
+and 20 every repeated passage of over 50 words is found; extension takes its ends. Removed words go with the white space after them. Null text is empty.
+Rows with a null doc_id are kept whole and repeat nothing. Equal rows of one doc_id are one document. Only the id and text columns
+are read. Hot fingerprints and pairs are pre-aggregated and joined under salts; no task holds more than a batch of documents.
+Pairs are compared by 64-bit hashes, and extended by 64-bit hashes of words.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,110 +24,238 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import id_text, small_batches
 from .graph import with_group
+from .hashing import _PLACES, EXACT, mixed, places
 
-GRAM, WINDOW, MIN_CHARS = 1, 2, 40
+WINDOW, MIN_WORDS = 16, 20
 
 
-def lines(text: str) -> list[tuple[int, str]]:
-    """Number and content of lines that are not blank."""
-    return [(k, s) for k, x in enumerate(text.split("\n")) if (s := x.strip(" \t\r"))]
+def keys(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each word as a number that orders like them."""
+    buf = np.frombuffer(data + b"\0" * 8, np.uint8)
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(8):
+        out = (out << np.uint64(8)) | np.where(starts + k < ends, buf[starts + k], 0).astype(np.uint64)
+    return out
+
+
+def least(key: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
+    """Places of the least word of each window inside a text, the rightmost of equals; window: a power of two."""
+    at, width = np.arange(len(key)), 1
+    while width < window:
+        if len(at) <= width:
+            return np.zeros(0, np.int64)
+        left, right = at[:-width], at[width:]
+        at = np.where(key[right] <= key[left], right, left)
+        width *= 2
+    return at[doc[: len(at)] == doc[window - 1 : window - 1 + len(at)]]
+
+
+class Pieces:
+    """The words of some texts and the pieces that they are cut into; all numbers are over all texts, end to end."""
+
+    def __init__(self, texts: list[str], window: int = WINDOW) -> None:
+        self.parts = [t.encode() for t in texts]
+        self.word, self.counts, self.starts, self.ends, self.data = places(self.parts, EXACT)
+        n = len(self.word)
+        self.begins = np.cumsum(self.counts) - self.counts
+        self.doc = np.repeat(np.arange(len(texts)), self.counts)
+        cut = np.zeros(n, bool)
+        if n:
+            feeds = np.concatenate([[0], np.cumsum(np.frombuffer(self.data, np.uint8) == 10)])
+            cut[1:] = feeds[self.starts[1:]] > feeds[self.ends[:-1]]
+            cut[0] = True
+            cut[least(keys(self.data, self.starts, self.ends), self.doc, window)] = True
+        self.first = np.flatnonzero(cut)
+        self.sizes = np.diff(self.first, append=n)
+        place = np.arange(n) - np.repeat(self.first, self.sizes)
+        # a piece has no more words than a window
+        self.hash = mixed(np.add.reduceat(self.word * _PLACES[place % 16] + (place // 16).astype(np.uint64), self.first) + self.sizes.astype(np.uint64)) if n else np.zeros(0, np.uint64)
+        self.pair = mixed(self.hash[:-1] * _PLACES[1] + self.hash[1:] * _PLACES[2])
+        self.inside = self.doc[self.first[:-1]] == self.doc[self.first[1:]]
+
+    def span(self, i: np.ndarray) -> np.ndarray:
+        """Words of the pair that begins at piece i."""
+        return self.sizes[i] + self.sizes[i + 1]
+
+    def around(self, doc: int, at: int, reach: int) -> tuple[list[int], list[int]]:
+        """Hashes of up to reach words of a text before a place, the nearest first, and from it on."""
+        a = int(self.begins[doc])
+        here, end = a + at, a + int(self.counts[doc])
+        as_signed = lambda x: x.view(np.int64).tolist()
+        return as_signed(self.word[max(a, here - reach) : here][::-1].copy()), as_signed(self.word[here : min(end, here + reach)])
+
+    def at(self, doc: int, start: int) -> int | None:
+        """The piece of a text that begins at its word, if one does."""
+        here = int(self.begins[doc]) + start
+        i = int(np.searchsorted(self.first, here))
+        return i if i < len(self.first) and self.first[i] == here and start < self.counts[doc] else None
+
+    def has(self, doc: int, start: int, key: int) -> bool:
+        i = self.at(doc, start)
+        return i is not None and i < len(self.pair) and bool(self.inside[i]) and int(self.pair[i : i + 1].view(np.int64)[0]) == key
+
+
+def fingerprints(p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Of each two neighbouring pieces of a text the one of lower hash, the right one of equals; and the pairs."""
+    pairs = np.flatnonzero(p.inside)
+    return np.where(p.hash[pairs + 1] <= p.hash[pairs], pairs + 1, pairs), pairs
 
 
-def short_digest(text: str) -> int:
-    return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "little", signed=True)
+def common(a: list[int], b: list[int]) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
 
 
-def winnowed(hashes: list[bytes], window: int) -> list[int]:
-    """Places of each window's lowest hash, the rightmost of equals; of fewer hashes than a window none, as no guaranteed run fits."""
-    out: list[int] = []
-    for i in range(len(hashes) - window + 1):
-        low = max(range(i, i + window), key=lambda k: ([255 - b for b in hashes[k]], k)) if window > 2 else (i + 1 if hashes[i + 1] <= hashes[i] else i) if window == 2 else i
-        if not out or out[-1] != low:
-            out.append(low)
+def runs(marks: list[dict]) -> list[list[dict]]:
+    """Pairs of a text, which overlap to runs."""
+    out: list[list[dict]] = []
+    end = -1
+    for m in sorted(marks, key=lambda m: m["s"]):
+        if out and m["s"] <= end:
+            out[-1].append(m)
+        else:
+            out.append([m])
+        end = max(end, m["s"] + m["m"])
     return out
 
 
-def places(text: str, gram: int, window: int, min_chars: int) -> Iterator[tuple[bytes, list[tuple[int, bytes]]]]:
-    """Kept grams, each with the starts and digests of the runs around it."""
-    own = [s for _, s in lines(text)]
-    run = gram + window - 1
-    if len(own) < run:
-        return
-    h = [hashlib.md5(s.encode()).digest() for s in own]
-    grams = [hashlib.md5(b"".join(h[i : i + gram])).digest() for i in range(len(h) - gram + 1)]
-    for p in winnowed(grams, window):
-        around = [(i, hashlib.md5(b"".join(h[i : i + run])).digest()) for i in range(max(0, p + gram - run), min(p, len(h) - run) + 1) if sum(map(len, own[i : i + run])) >= min_chars]
-        if around:
-            yield grams[p], around
+def long_runs(marks: list[dict], min_words: int) -> Iterator[tuple[int, int, dict, dict]]:
+    """Start, end, first and last pair of each run of enough words."""
+    for run in runs(marks):
+        if (end := run[-1]["s"] + run[-1]["m"]) - run[0]["s"] >= min_words:
+            yield run[0]["s"], end, run[0], run[-1]
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, min_chars: int = MIN_CHARS, keep: bool = False) -> DataFrame:
-    """doc_id, text (without later repeated runs), n_lines (not blank), n_removed, n_runs of each row; keep: and the row itself as a struct."""
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS, keep: bool = False) -> DataFrame:
+    """doc_id, text (without later repeated runs), n_words, n_removed, n_runs of each row; keep: and the row itself as a struct."""
     small_batches(df.sparkSession)
-    run = gram + window - 1
     rows = id_text(df, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
+    mark = "struct<s:int,m:int,key:bigint,d:" + kind + ",t:int>"
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        around_type = pa.list_(pa.struct([("start", pa.int32()), ("key", pa.binary())]))
         for b in batches:
-            out = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                d = short_digest(text)
-                out += [(doc, d, g, [{"start": i, "key": k} for i, k in around]) for g, around in places(text, gram, window, min_chars)]
-            cols = [*zip(*out, strict=True)] or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("doc_id").type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], around_type)], ["doc_id", "d", "gram", "around"])
+            p = Pieces(b.column("text").to_pylist(), window)
+            low, pairs = fingerprints(p)
+            order = np.argsort(low, kind="stable")
+            low, pairs = low[order], pairs[order]
+            own, first = np.unique(low, return_index=True)
+            around = pa.ListArray.from_arrays(
+                pa.array(np.append(first, len(low)), pa.int32()),
+                pa.StructArray.from_arrays([pa.array((p.first[pairs] - p.begins[p.doc[p.first[pairs]]]).astype(np.int32)), pa.array(p.span(pairs).astype(np.int32)), pa.array(p.pair[pairs].view(np.int64))], ["s", "m", "key"]),
+            )
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(p.doc[p.first[own]])), pa.array(p.hash[own].view(np.int64)), around], ["doc_id", "gram", "around"])
 
-    grams = rows.where("doc_id is not null").mapInArrow(marks, f"doc_id {kind}, d bigint, gram binary, around array<struct<start:int,key:binary>>")
+    grams = rows.where("doc_id is not null").mapInArrow(marks, f"doc_id {kind}, gram bigint, around array<struct<s:int,m:int,key:bigint>>")
     twice = grams.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1").withColumn("met", F.lit(True))
-    near = with_group(grams, twice, "gram", F.col("doc_id")).where("met").select("doc_id", "d", F.explode("around").alias("x")).select("doc_id", "d", "x.start", "x.key")
-    first = near.groupBy("key").agg(F.min(F.struct("doc_id", "d", "start")).alias("first"), F.count("*").alias("members")).where("members > 1")
-    later = with_group(near, first, "key", F.col("doc_id")).where(F.struct("doc_id", "d", "start") > F.col("first"))
-    gone = later.groupBy("doc_id", "d").agg(F.collect_set("start").alias("starts")).groupBy("doc_id").agg(F.collect_list(F.struct("d", "starts")).alias("gone"))
+    near = with_group(grams, twice, "gram", F.struct("doc_id", "around")).where("met").select("doc_id", F.explode("around").alias("x")).select("doc_id", "x.s", "x.m", "x.key")
+    first = near.groupBy("key").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("members")).where("members > 1")
+    later = with_group(near, first, "key", F.struct("doc_id", "s")).where(F.struct("doc_id", "s") > F.col("first"))
+    gone = later.groupBy("doc_id").agg(F.collect_set(F.struct("s", "m", "key", F.col("first.doc_id").alias("d"), F.col("first.s").alias("t"))).alias("marks"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # ends of long runs ask the first places of their last pairs for the words around them
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
-                own = lines(text)
-                off = np.zeros(len(own) + 1, bool)
-                d = short_digest(text) if gone else 0
-                for x in gone or []:
-                    if x["d"] == d:
-                        for i in x["starts"]:
-                            off[i : i + run] = True
-                dropped = {own[k][0] for k in np.flatnonzero(off)}
-                kept = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in dropped) if dropped else text
-                out.append((kept, len(own), len(dropped), int(np.count_nonzero(off[1:] < off[:-1]))))
-            cols = [*zip(*out, strict=True)] or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)), *([b.column("row")] if keep else [])], ["doc_id", "text", "n_lines", "n_removed", "n_runs", *(["row"] if keep else [])])
+            for doc, own in zip(b.column("doc_id").to_pylist(), b.column("marks").to_pylist(), strict=True):
+                for a, e, left, right in long_runs(own, min_words):
+                    out += [(doc, a, e, 0, left["d"], left["t"], left["t"], left["key"]), (doc, a, e, 1, right["d"], right["t"], right["t"] + right["m"], right["key"])]
+            cols = [*zip(*out, strict=True)] or [[]] * 8
+            kinds = (b.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int32(), b.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "a", "e", "side", "d", "t", "at", "key"])
 
+    asked = gone.mapInArrow(ends, f"doc_id {kind}, a int, e int, side int, d {kind}, t int, at int, key bigint")
+    place = F.struct("d", "t", "at", "key")
+    wanted = asked.groupBy(place.alias("place")).agg(F.count("*").alias("members"))
+    by_origin = wanted.groupBy(F.col("place.d").alias("doc_id")).agg(F.collect_list(F.struct("place.t", "place.at", "place.key", "members")).alias("wanted"))
     whole = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*(F.col(c) for c in df.columns)).alias("row")) if keep else rows
-    joined = whole.join(gone, "doc_id", "left").select("doc_id", "text", "gone", *(["row"] if keep else []))
-    return joined.mapInArrow(cut, f"doc_id {kind}, text string, n_lines bigint, n_removed bigint, n_runs bigint" + (f", row {joined.schema['row'].dataType.simpleString()}" if keep else ""))
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, out = Pieces(b.column("text").to_pylist(), window), []
+            for k, (doc, wanted) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("wanted").to_pylist(), strict=True)):
+                for w in wanted or []:
+                    if p.has(k, w["t"], w["key"]):
+                        before, after = p.around(k, w["at"], window)
+                        out.append((doc, w["t"], w["at"], w["key"], w["members"], before if w["at"] == w["t"] else after))
+            cols = [*zip(*out, strict=True)] or [[]] * 6
+            kinds = (b.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["d", "t", "at", "key", "members", "words"])
+
+    # this join deals the texts as the last one does; all columns stay, so that one exchange serves both
+    told = whole.join(by_origin, "doc_id", "left").mapInArrow(answers, f"d {kind}, t int, at int, key bigint, members bigint, words array<bigint>")
+    told = told.groupBy(place.alias("place")).agg(F.max("members").alias("members"), F.min("words").alias("words"))
+    ended = with_group(asked.withColumn("place", place), told, "place", F.struct("doc_id", "a"))
+    known = ended.groupBy("doc_id").agg(F.collect_set(F.struct("a", "side", "words")).alias("beside"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, texts = [], b.column("text").to_pylist()
+            p = Pieces(texts, window)
+            for k, (text, own, beside) in enumerate(zip(texts, b.column("marks").to_pylist(), b.column("beside").to_pylist(), strict=True)):
+                n, off = int(p.counts[k]), None
+                words = {(x["a"], x["side"]): x["words"] or [] for x in beside or []}
+                for a, e, left, right in long_runs([m for m in own or [] if p.has(k, m["s"], m["key"])], min_words):
+                    off = np.zeros(n + 1, bool) if off is None else off
+                    off[a - common(p.around(k, a, window)[0], words.get((left["s"], 0), [])) : e + common(p.around(k, e, window)[1], words.get((left["s"], 1), []))] = True
+                if off is None:
+                    out.append((text, n, 0, 0))
+                    continue
+                off[n] = False
+                edge = np.flatnonzero(np.diff(off, prepend=False))
+                at, base = int(p.begins[k]), int(p.starts[p.begins[k]])
+                lead = len(p.parts[k]) - len(p.parts[k].lstrip(b" \t\n\v\f\r"))
+                byte = lambda i: len(p.parts[k]) if i == n else int(p.starts[at + i]) - base + lead  # noqa: B023, E731
+                kept, since = [], 0
+                for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                    kept.append(p.parts[k][since : byte(x)])
+                    since = byte(y)
+                kept.append(p.parts[k][since:])
+                out.append((b"".join(kept).decode(), n, int(off.sum()), len(edge) // 2))
+            cols = [*zip(*out, strict=True)] or [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)), *([b.column("row")] if keep else [])], ["doc_id", "text", "n_words", "n_removed", "n_runs", *(["row"] if keep else [])])
+
+    joined = whole.join(gone.join(known, "doc_id", "left"), "doc_id", "left").select("doc_id", "text", "marks", "beside", *(["row"] if keep else []))
+    return joined.mapInArrow(cut, f"doc_id {kind}, text string, n_words bigint, n_removed bigint, n_runs bigint" + (f", row {joined.schema['row'].dataType.simpleString()}" if keep else ""))
 
 
+_SPACE, WORD_AND_SPACE = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 SQL = f"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-s AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS s FROM l),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM s WHERE s <> ''),
-w AS (SELECT doc_id, p, s, lead(s) OVER (PARTITION BY doc_id ORDER BY p) AS t FROM b),
-r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s, t ORDER BY doc_id, p) AS k FROM w WHERE t IS NOT NULL AND length(s) + length(t) >= {MIN_CHARS}),
-x AS (SELECT DISTINCT doc_id, p + o AS p FROM r, (VALUES (0), (1)) AS v(o) WHERE k > 1),
-g AS (SELECT b.doc_id, b.i, b.p, x.p IS NOT NULL AS gone FROM b LEFT JOIN x ON b.doc_id = x.doc_id AND b.p = x.p),
-n AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_runs
-      FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS before FROM g) GROUP BY doc_id),
-k AS (SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.i) AS kept FROM s LEFT JOIN g ON s.doc_id = g.doc_id AND s.i = g.i WHERE NOT coalesce(g.gone, false) GROUP BY s.doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+k AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD_AND_SPACE}') AS toks FROM t),
+o AS (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM k),
+w AS (SELECT doc_id, i, tok, regexp_replace(tok, '{_SPACE}+$', '') AS w, i = 1 OR contains(lag(tok) OVER (PARTITION BY doc_id ORDER BY i), chr(10)) AS line FROM o),
+x AS (SELECT doc_id, i, count(*) OVER own AS n, min(rpad(left(hex(w), 16), 16, '0') || lpad(cast(99999999 - i AS varchar), 8, '0')) OVER own AS low FROM w WINDOW own AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+c AS (SELECT DISTINCT doc_id, 99999999 - cast(right(low, 8) AS bigint) AS i FROM x WHERE n = {WINDOW}),
+u AS (SELECT w.doc_id, w.i, w, sum(CASE WHEN line OR c.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS u FROM w LEFT JOIN c ON w.doc_id = c.doc_id AND w.i = c.i),
+p AS (SELECT doc_id, u, min(i) AS s, count(*) AS m, string_agg(w, ' ' ORDER BY i) AS content FROM u GROUP BY doc_id, u),
+q AS (SELECT doc_id, s, m + lead(m) OVER d AS m, md5(content) || md5(lead(content) OVER d) AS key FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY u)),
+f AS (SELECT doc_id, s, s + m AS e, first_value(doc_id) OVER b AS d0, first_value(s) OVER b AS s0 FROM q WHERE key IS NOT NULL WINDOW b AS (PARTITION BY key ORDER BY doc_id, s)),
+l AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM f WHERE doc_id <> d0 OR s <> s0),
+g AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM l),
+r AS (SELECT doc_id, min(s) AS a, max(e) AS e, arg_min(d0, s) AS ld, arg_min(s0, s) AS ls, arg_max(d0, s) AS rd, arg_max(s0 + e - s, s) AS rs FROM g GROUP BY doc_id, run HAVING max(e) - min(s) >= {MIN_WORDS}),
+y AS (SELECT doc_id, list(w ORDER BY i) AS ws FROM w GROUP BY doc_id),
+z AS (SELECT r.doc_id, a, e, list_reverse(m.ws[greatest(a - {WINDOW}, 1):a - 1]) AS mb, list_reverse(lo.ws[greatest(ls - {WINDOW}, 1):ls - 1]) AS ob, m.ws[e:e + {WINDOW - 1}] AS ma, ro.ws[rs:rs + {WINDOW - 1}] AS oa
+  FROM r JOIN y m ON r.doc_id = m.doc_id JOIN y lo ON ld = lo.doc_id JOIN y ro ON rd = ro.doc_id),
+v AS (SELECT doc_id, a - len(list_filter(range(1, {WINDOW + 1}), lambda n: n <= len(mb) AND n <= len(ob) AND mb[1:n] = ob[1:n])) AS a, e + len(list_filter(range(1, {WINDOW + 1}), lambda n: n <= len(ma) AND n <= len(oa) AND ma[1:n] = oa[1:n])) AS e FROM z),
+h AS (SELECT DISTINCT o.doc_id, o.i FROM o JOIN v ON o.doc_id = v.doc_id AND o.i >= v.a AND o.i < v.e),
+b AS (SELECT o.doc_id, o.i, tok, h.i IS NOT NULL AS gone FROM o LEFT JOIN h ON o.doc_id = h.doc_id AND o.i = h.i),
+n AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_runs, string_agg(tok, '' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM b) GROUP BY doc_id)
+SELECT k.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(regexp_extract(text, '^{_SPACE}*') || coalesce(kept, '')) AS kept_sha256
+FROM k LEFT JOIN n ON k.doc_id = n.doc_id
 """
 
 
-def applied(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", gram: int = GRAM, window: int = WINDOW, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Rows of df with their columns, the text without later repeated runs and its characters counted again; rows that had lines and have none left go."""
-    out = dedup(df, id_col, text_col, gram, window, min_chars, keep=True)
-    left = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    text = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col(f"row.{text_col}"))
-    rows = left.select("row.*", text.alias("_kept"), "n_removed")
-    new = {text_col: F.col("_kept")} | ({count_col: F.when(F.col("_kept") != F.col("_old"), F.length("_kept").cast("bigint")).otherwise(F.col(count_col))} if count_col in df.columns else {})
-    return rows.withColumn("_old", F.col(text_col)).select(*(new[c].alias(c) if c in new else F.col(c) for c in df.columns))
+def applied(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows of df with their columns, the text without later repeated runs and its characters counted again; rows that had words and have none left go."""
+    out = dedup(df, id_col, text_col, window, min_words, keep=True)
+    cut, whole = F.col("n_removed") > 0, lambda c: F.col("row")[c]
+    new = {text_col: F.when(cut, F.col("text")).otherwise(whole(text_col))}
+    if count_col in df.columns:
+        new[count_col] = F.when(cut, F.length("text").cast(df.schema[count_col].dataType)).otherwise(whole(count_col))
+    return out.where(~cut | (F.col("n_removed") < F.col("n_words"))).select(*(new.get(c, whole(c)).alias(c) for c in df.columns))
