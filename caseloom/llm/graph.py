@@ -9,17 +9,32 @@ from .common import checkpointed
 #: A key has one salt for each of so many parts of all members that it has, so at most twice as many pairs of key and salt are hot.
 SHARES = 1 << 14
 STARS = 8
+#: Bits of the map by which rows are told from those that surely have no partner: 16 MB at most.
+BITS, BUCKET = 1 << 27, 1 << 15
 
 
-def with_group(rows: DataFrame, groups: DataFrame, key: str, salt: Column) -> DataFrame:
-    """rows with the columns of their group, nulls without one; groups: one row for each key, `members` telling how many rows it has.
+def perhaps_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows with `_perhaps`: false where the key is surely not among keys (of the first column), so that only the others need an exchange.
+
+    A map of BITS bits, one hash a key, is broadcast. More keys than bits make it say yes to all, which costs time only.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    bits = keys.select(bit(keys.columns[0]).alias("_bit")).groupBy(F.expr(f"_bit div {BUCKET}").alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_bit") % BUCKET).alias("_map"))
+    found = rows.withColumn("_bit", bit(key)).withColumn("_bucket", F.expr(f"_bit div {BUCKET}")).join(F.broadcast(bits), "_bucket", "left")
+    byte = f"cast(conv(hex(substring(_map, cast((_bit % {BUCKET}) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return found.withColumn("_perhaps", F.coalesce(F.expr(f"shiftright({byte}, cast(_bit % 8 as int)) & 1 = 1"), F.lit(False))).select(*rows.columns, "_perhaps")
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, salt: Column, cut: bool = True) -> DataFrame:
+    """rows with the columns of their group, nulls without one; groups: one row for each key, `members` telling how many rows it has; cut: their lineage.
 
     Keys with more than one of SHARES parts of all members are hot: fewer than SHARES of them exist, whatever the input, so their list is
     broadcast. Rows of a hot key are dealt over as many salts as it has parts, so no task gets more than its share of them,
     rows without a key likewise, and all others over their key alone, in one exchange.
     """
     rest = [c for c in groups.columns if c not in (key, "members")]
-    # all columns are asked for, so that every use of the groups has the same exchange below it
+    groups = checkpointed(groups) if cut else groups
+    # groups stand three times in the plan: all columns are asked for, so that each has the same exchange below it
     whole = groups.where(" and ".join(f"{c} is not null" for c in ("members", *rest)))
     total = whole.agg(F.sum("members").alias("_all"))
     hot = whole.crossJoin(F.broadcast(total)).select(key, F.ceil(F.col("members") * SHARES / F.col("_all")).cast("int").alias("_cuts")).where("_cuts > 1")

@@ -16,14 +16,16 @@ Pairs are compared by 64-bit hashes, and extended by 64-bit hashes of words.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_text, small_batches
-from .graph import with_group
+from .common import checkpointed, id_text, small_batches
+from .graph import perhaps_in, with_group
 from .hashing import _PLACES, EXACT, mixed, places
 
 WINDOW, MIN_WORDS = 16, 20
@@ -84,16 +86,6 @@ class Pieces:
         as_signed = lambda x: x.view(np.int64).tolist()
         return as_signed(self.word[max(a, here - reach) : here][::-1].copy()), as_signed(self.word[here : min(end, here + reach)])
 
-    def at(self, doc: int, start: int) -> int | None:
-        """The piece of a text that begins at its word, if one does."""
-        here = int(self.begins[doc]) + start
-        i = int(np.searchsorted(self.first, here))
-        return i if i < len(self.first) and self.first[i] == here and start < self.counts[doc] else None
-
-    def has(self, doc: int, start: int, key: int) -> bool:
-        i = self.at(doc, start)
-        return i is not None and i < len(self.pair) and bool(self.inside[i]) and int(self.pair[i : i + 1].view(np.int64)[0]) == key
-
 
 def fingerprints(p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Of each two neighbouring pieces of a text the one of lower hash, the right one of equals; and the pairs."""
@@ -110,98 +102,110 @@ def common(a: list[int], b: list[int]) -> int:
     return n
 
 
-def runs(marks: list[dict]) -> list[list[dict]]:
-    """Pairs of a text, which overlap to runs."""
-    out: list[list[dict]] = []
-    end = -1
-    for m in sorted(marks, key=lambda m: m["s"]):
-        if out and m["s"] <= end:
-            out[-1].append(m)
-        else:
-            out.append([m])
-        end = max(end, m["s"] + m["m"])
-    return out
+def long_runs(doc: np.ndarray, start: np.ndarray, size: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of texts overlap to runs. Of those of enough words: the order of all pairs, and in it the first and last pair of each run."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], (start + size)[order]  # ends rise with starts
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1 if len(first) else first
+    enough = end[last] - start[first] >= min_words
+    return order, first[enough], last[enough]
 
 
-def long_runs(marks: list[dict], min_words: int) -> Iterator[tuple[int, int, dict, dict]]:
-    """Start, end, first and last pair of each run of enough words."""
-    for run in runs(marks):
-        if (end := run[-1]["s"] + run[-1]["m"]) - run[0]["s"] >= min_words:
-            yield run[0]["s"], end, run[0], run[-1]
+def short_digest(text: str) -> int:
+    """Tells texts of one doc_id apart."""
+    return zlib.crc32(text.encode()) & 0xFFFF
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS, keep: bool = False) -> DataFrame:
-    """doc_id, text (without later repeated runs), n_words, n_removed, n_runs of each row; keep: and the row itself as a struct."""
+    """doc_id, text (without later repeated runs; null stays null), n_words, n_removed, n_runs of each row; keep: and the row itself as a struct."""
     small_batches(df.sparkSession)
     rows = id_text(df, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    mark = "struct<s:int,m:int,key:bigint,d:" + kind + ",t:int>"
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = Pieces(b.column("text").to_pylist(), window)
+            texts = b.column("text").to_pylist()
+            p = Pieces(texts, window)
+            d = np.array([short_digest(t) for t in texts], np.int32)
             low, pairs = fingerprints(p)
             order = np.argsort(low, kind="stable")
             low, pairs = low[order], pairs[order]
             own, first = np.unique(low, return_index=True)
+            doc = p.doc[p.first[own]]
             around = pa.ListArray.from_arrays(
                 pa.array(np.append(first, len(low)), pa.int32()),
                 pa.StructArray.from_arrays([pa.array((p.first[pairs] - p.begins[p.doc[p.first[pairs]]]).astype(np.int32)), pa.array(p.span(pairs).astype(np.int32)), pa.array(p.pair[pairs].view(np.int64))], ["s", "m", "key"]),
             )
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(p.doc[p.first[own]])), pa.array(p.hash[own].view(np.int64)), around], ["doc_id", "gram", "around"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(d[doc]), pa.array(p.hash[own].view(np.int64)), around], ["doc_id", "d", "gram", "around"])
 
-    grams = rows.where("doc_id is not null").mapInArrow(marks, f"doc_id {kind}, gram bigint, around array<struct<s:int,m:int,key:bigint>>")
+    grams = rows.where("doc_id is not null").mapInArrow(marks, f"doc_id {kind}, d int, gram bigint, around array<struct<s:int,m:int,key:bigint>>")
     twice = grams.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1").withColumn("met", F.lit(True))
-    near = with_group(grams, twice, "gram", F.struct("doc_id", "around")).where("met").select("doc_id", F.explode("around").alias("x")).select("doc_id", "x.s", "x.m", "x.key")
-    first = near.groupBy("key").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("members")).where("members > 1")
-    later = with_group(near, first, "key", F.struct("doc_id", "s")).where(F.struct("doc_id", "s") > F.col("first"))
-    gone = later.groupBy("doc_id").agg(F.collect_set(F.struct("s", "m", "key", F.col("first.doc_id").alias("d"), F.col("first.s").alias("t"))).alias("marks"))
-
-    # ends of long runs ask the first places of their last pairs for the words around them
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    near = with_group(grams, twice, "gram", F.struct("doc_id", "around")).where("met").select("doc_id", "d", F.explode("around").alias("x"))
+    near = checkpointed(near.select("doc_id", "d", "x.s", "x.m", "x.key"))
+    place = F.struct("doc_id", "d", "s")
+    first = near.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("members")).where("members > 1")
+    later = with_group(near, first, "key", place).where(place > F.col("first"))
+    gone = later.groupBy("doc_id", "d").agg(F.collect_list(F.struct("s", "m", F.col("first.doc_id").alias("of"), F.col("first.d").alias("of_d"), F.col("first.s").alias("at"))).alias("marks"))
+
+    # runs, with the first places of their first pair's start and their last pair's end
+    def joined_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, own in zip(b.column("doc_id").to_pylist(), b.column("marks").to_pylist(), strict=True):
-                for a, e, left, right in long_runs(own, min_words):
-                    out += [(doc, a, e, 0, left["d"], left["t"], left["t"], left["key"]), (doc, a, e, 1, right["d"], right["t"], right["t"] + right["m"], right["key"])]
-            cols = [*zip(*out, strict=True)] or [[]] * 8
-            kinds = (b.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int32(), b.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "a", "e", "side", "d", "t", "at", "key"])
-
-    asked = gone.mapInArrow(ends, f"doc_id {kind}, a int, e int, side int, d {kind}, t int, at int, key bigint")
-    place = F.struct("d", "t", "at", "key")
-    wanted = asked.groupBy(place.alias("place")).agg(F.count("*").alias("members"))
-    by_origin = wanted.groupBy(F.col("place.d").alias("doc_id")).agg(F.collect_list(F.struct("place.t", "place.at", "place.key", "members")).alias("wanted"))
-    whole = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*(F.col(c) for c in df.columns)).alias("row")) if keep else rows
+            own = b.column("marks").flatten()
+            doc = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(b.column("marks")).to_numpy())
+            s, m, of, of_d, at = (own.field(k) for k in range(5))
+            s, m, at = s.to_numpy(), m.to_numpy(), at.to_numpy()
+            order, i, j = long_runs(doc, s, m, min_words)
+            i, j = order[i], order[j]
+            whose = pa.array(doc[i])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(whose), b.column("d").take(whose), pa.array(s[i]), pa.array(s[j] + m[j]), of.take(pa.array(i)), of_d.take(pa.array(i)), pa.array(at[i]), of.take(pa.array(j)), of_d.take(pa.array(j)), pa.array(at[j] + m[j])],
+                ["doc_id", "d", "a", "e", "left_of", "left_d", "left_at", "right_of", "right_d", "right_at"],
+            )
+
+    runs = checkpointed(gone.mapInArrow(joined_pairs, f"doc_id {kind}, d int, a int, e int, left_of {kind}, left_d int, left_at int, right_of {kind}, right_d int, right_at int"))
+    side = lambda k, name: F.struct(F.lit(k).alias("side"), F.struct(F.col(f"{name}_of").alias("of"), F.col(f"{name}_d").alias("of_d"), F.col(f"{name}_at").alias("at"), F.lit(k).alias("side")).alias("place"))
+    asked = runs.select("doc_id", "d", "a", "e", F.explode(F.array(side(0, "left"), side(1, "right"))).alias("x")).select("doc_id", "d", "a", "e", "x.side", "x.place")
+    wanted = asked.groupBy("place").agg(F.count("*").alias("members"))
+    by_origin = wanted.groupBy(F.col("place.of").alias("doc_id")).agg(F.collect_list(F.struct(F.col("place.of_d").alias("d"), "place.at", "place.side", "members")).alias("wanted"))
+    # texts that have no part in any of this stay where they are
+    others = [F.col(c) for c in df.columns if c != text_col]
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*others).alias("row")) if keep else df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marked = perhaps_in(rows, "doc_id", runs.select("doc_id").unionByName(runs.select(F.col("left_of").alias("doc_id"))).unionByName(runs.select(F.col("right_of").alias("doc_id"))).distinct())
+    whole = marked.where("_perhaps").drop("_perhaps")
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p, out = Pieces(b.column("text").to_pylist(), window), []
-            for k, (doc, wanted) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("wanted").to_pylist(), strict=True)):
-                for w in wanted or []:
-                    if p.has(k, w["t"], w["key"]):
-                        before, after = p.around(k, w["at"], window)
-                        out.append((doc, w["t"], w["at"], w["key"], w["members"], before if w["at"] == w["t"] else after))
+            asked = b.filter(b.column("wanted").is_valid())
+            texts, out = [x or "" for x in asked.column("text").to_pylist()], []
+            p = Pieces(texts, window)
+            for k, (doc, text, wanted) in enumerate(zip(asked.column("doc_id").to_pylist(), texts, asked.column("wanted").to_pylist(), strict=True)):
+                d = short_digest(text)
+                out += [(doc, d, w["at"], w["side"], w["members"], p.around(k, w["at"], window)[w["side"]]) for w in wanted if w["d"] == d]
             cols = [*zip(*out, strict=True)] or [[]] * 6
-            kinds = (b.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["d", "t", "at", "key", "members", "words"])
+            kinds = (b.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["of", "of_d", "at", "side", "members", "words"])
 
     # this join deals the texts as the last one does; all columns stay, so that one exchange serves both
-    told = whole.join(by_origin, "doc_id", "left").mapInArrow(answers, f"d {kind}, t int, at int, key bigint, members bigint, words array<bigint>")
-    told = told.groupBy(place.alias("place")).agg(F.max("members").alias("members"), F.min("words").alias("words"))
-    ended = with_group(asked.withColumn("place", place), told, "place", F.struct("doc_id", "a"))
-    known = ended.groupBy("doc_id").agg(F.collect_set(F.struct("a", "side", "words")).alias("beside"))
+    told = whole.join(by_origin, "doc_id", "left").mapInArrow(answers, f"of {kind}, of_d int, at int, side int, members bigint, words array<bigint>")
+    told = told.groupBy(F.struct("of", "of_d", "at", "side").alias("place")).agg(F.max("members").alias("members"), F.min("words").alias("words"))
+    known = with_group(asked, told, "place", F.struct("doc_id", "a"), cut=False).groupBy("doc_id").agg(F.collect_list(F.struct("d", "a", "e", "side", "words")).alias("ends"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, texts = [], b.column("text").to_pylist()
-            p = Pieces(texts, window)
-            for k, (text, own, beside) in enumerate(zip(texts, b.column("marks").to_pylist(), b.column("beside").to_pylist(), strict=True)):
-                n, off = int(p.counts[k]), None
-                words = {(x["a"], x["side"]): x["words"] or [] for x in beside or []}
-                for a, e, left, right in long_runs([m for m in own or [] if p.has(k, m["s"], m["key"])], min_words):
-                    off = np.zeros(n + 1, bool) if off is None else off
-                    off[a - common(p.around(k, a, window)[0], words.get((left["s"], 0), [])) : e + common(p.around(k, e, window)[1], words.get((left["s"], 1), []))] = True
+            p = Pieces([x or "" for x in texts], window)
+            for k, (text, ends) in enumerate(zip(texts, b.column("ends").to_pylist(), strict=True)):
+                n, off, d = int(p.counts[k]), None, short_digest(text or "") if ends else 0
+                for x in ends or []:
+                    if x["d"] == d:
+                        off = np.zeros(n + 1, bool) if off is None else off
+                        off[x["a"] : x["e"]] = True
+                        at = x["e"] if x["side"] else x["a"]
+                        more = common(p.around(k, at, window)[x["side"]], x["words"] or [])
+                        off[at if x["side"] else at - more : at + more if x["side"] else at] = True
                 if off is None:
                     out.append((text, n, 0, 0))
                     continue
@@ -219,8 +223,16 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
             cols = [*zip(*out, strict=True)] or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)), *([b.column("row")] if keep else [])], ["doc_id", "text", "n_words", "n_removed", "n_runs", *(["row"] if keep else [])])
 
-    joined = whole.join(gone.join(known, "doc_id", "left"), "doc_id", "left").select("doc_id", "text", "marks", "beside", *(["row"] if keep else []))
-    return joined.mapInArrow(cut, f"doc_id {kind}, text string, n_words bigint, n_removed bigint, n_runs bigint" + (f", row {joined.schema['row'].dataType.simpleString()}" if keep else ""))
+    joined = whole.join(known, "doc_id", "left")
+    fields = f"doc_id {kind}, text string, n_words bigint, n_removed bigint, n_runs bigint" + (f", row {joined.schema['row'].dataType.simpleString()}" if keep else "")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pa.array([len(x.encode().split()) if x else 0 for x in b.column("text").to_pylist()], pa.int64())
+            zero = pa.array(np.zeros(b.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), n, zero, zero, *([b.column("row")] if keep else [])], ["doc_id", "text", "n_words", "n_removed", "n_runs", *(["row"] if keep else [])])
+
+    return marked.where("not _perhaps").drop("_perhaps").mapInArrow(counted, fields).unionByName(joined.mapInArrow(cut, fields))
 
 
 _SPACE, WORD_AND_SPACE = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
@@ -254,8 +266,6 @@ FROM k LEFT JOIN n ON k.doc_id = n.doc_id
 def applied(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows of df with their columns, the text without later repeated runs and its characters counted again; rows that had words and have none left go."""
     out = dedup(df, id_col, text_col, window, min_words, keep=True)
-    cut, whole = F.col("n_removed") > 0, lambda c: F.col("row")[c]
-    new = {text_col: F.when(cut, F.col("text")).otherwise(whole(text_col))}
-    if count_col in df.columns:
-        new[count_col] = F.when(cut, F.length("text").cast(df.schema[count_col].dataType)).otherwise(whole(count_col))
+    cut, whole = F.col("n_removed") > 0, lambda c: F.col("text") if c == text_col else F.col("row")[c]
+    new = {count_col: F.when(cut, F.length("text").cast(df.schema[count_col].dataType)).otherwise(whole(count_col))} if count_col in df.columns else {}
     return out.where(~cut | (F.col("n_removed") < F.col("n_words"))).select(*(new.get(c, whole(c)).alias(c) for c in df.columns))

@@ -18,7 +18,7 @@ def byte_bpe() -> str:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(documents(spark, sf_dir))
-    return out.select("doc_id", "n_words", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_words", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
