@@ -5,9 +5,10 @@ text's first word count / N. Counts cover the whole corpus, the scored text incl
 are exact in any order.
 
 Rows of n-grams would be many times the input, so they move packed: a block of documents sends its distinct words and pairs
-with counts, as sorted 48-bit hashes, to the count table's partitions, and gets the corpus counts back in the same order. It
+with counts, as sorted hashes, to the count table's partitions, and gets the corpus counts back in the same order. It
 is a join of exploded n-grams with the count tables on the hash, with a row for each block and partition. A hot word is one entry a
-block. The blocks' texts meet their counts by the block's digest.
+block. The blocks' texts meet their counts by the block's digest. A hash has 48 bits beside those that its partition tells, so of n n-grams in a
+partition each shares its key by chance with a probability of n / 2^48, at any size of the input that keeps n.
 
 The input must give its rows in the same order when it is read again, as a table does; if it does not, the query fails
 rather than score against other counts. Null and empty texts have 0 words and score 0. Repeated rows count as often as
@@ -27,12 +28,16 @@ from .common import WORD, checkpointed, id_text, shuffle_partitions, small_batch
 from .hashing import _PLACES, mixed, words
 
 ALPHA, LEAST, BLOCK = 0.4, 2, 4_000_000
-LOW = np.uint64((1 << 48) - 1)
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Sorted 48-bit numbers as differences, byte by byte of all, so that their zeros compress."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+def key_bits(parts: int) -> int:
+    """48 for the place in a partition of the count table, and those that the partition tells, 64 at most: more partitions, longer keys."""
+    return min(64, 47 + parts.bit_length())
+
+
+def packed(values: np.ndarray, base: int) -> bytes:
+    """Sorted numbers of 48 bits from base on as differences, byte by byte of all, so that their zeros compress."""
+    steps = np.diff(values, prepend=np.uint64(base)).astype("<u8")
     return steps.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
 
 
@@ -64,13 +69,14 @@ def named(ids: list, texts: list[str]) -> bytes:
     return h.digest()
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words and the pairs that begin at each word but the last, as 48-bit hashes; words of each text; true where a pair lies in one text."""
+def grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words and the pairs that begin at each word but the last, as hashes of so many bits; words of each text; true where a pair lies in one text."""
     h, counts = words(texts)
-    pair = mixed(h[:-1] * _PLACES[0] + h[1:] * _PLACES[1]) & LOW
+    drop = np.uint64(64 - bits)
+    pair = mixed(h[:-1] * _PLACES[0] + h[1:] * _PLACES[1]) >> drop
     inside = np.ones(len(h), bool)
     inside[(np.cumsum(counts) - 1)[counts > 0]] = False
-    return h & LOW, pair, counts, inside[: len(pair)] if len(h) else np.zeros(0, bool)
+    return h >> drop, pair, counts, inside[: len(pair)] if len(h) else np.zeros(0, bool)
 
 
 def micro(counts: np.ndarray | int) -> np.ndarray:
@@ -81,17 +87,20 @@ def partial_scores(rows: DataFrame, parts: int, alpha: float, least: int) -> Dat
     """doc_id, n_tokens, n_backoffs (words that are scored alone), partial: the score but for N."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    bits = key_bits(parts)
+    begins_at = [-(-(q << bits) // parts) for q in range(parts)]
+
     def cuts(values: np.ndarray) -> np.ndarray:
-        return np.searchsorted(values, np.array([-(-(q << 48) // parts) for q in range(parts + 1)], np.uint64))
+        return np.append(np.searchsorted(values, np.array(begins_at, np.uint64)), len(values))
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, _, texts in blocks(batches):
-            word, pair, _, inside = grams(texts)
+            word, pair, _, inside = grams(texts, bits)
             (w, wn), (p, pn) = np.unique(word, return_counts=True), np.unique(pair[inside], return_counts=True)
             wc, pc, out = cuts(w), cuts(p), []
             for q in range(parts):
                 a, b = slice(wc[q], wc[q + 1]), slice(pc[q], pc[q + 1])
-                out.append((q, name, packed(w[a]), wn[a].astype("<u4").tobytes(), packed(p[b]), pn[b].astype("<u4").tobytes()))
+                out.append((q, name, packed(w[a], begins_at[q]), wn[a].astype("<u4").tobytes(), packed(p[b], begins_at[q]), pn[b].astype("<u4").tobytes()))
             cols = [*zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["q", "block", "words", "word_n", "pairs", "pair_n"])
 
@@ -118,7 +127,7 @@ def partial_scores(rows: DataFrame, parts: int, alpha: float, least: int) -> Dat
         first = {q: (a, b) for q, a, b in parts_}
         wn, pn = (np.frombuffer(b"".join(x[k] for _, x in sorted(first.items())), np.int64) for k in (0, 1))
         for ids, texts in zip(left["ids"].to_pylist(), left["texts"].to_pylist(), strict=True):
-            word, pair, counts, inside = grams(texts)
+            word, pair, counts, inside = grams(texts, bits)
             if len(word):
                 w, p = np.unique(word), np.unique(pair[inside])
                 cw = wn[np.searchsorted(w, word)]

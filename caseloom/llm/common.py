@@ -26,6 +26,7 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def with_long_id(rows: DataFrame) -> DataFrame:
+    """For operators that pack ids as 64-bit numbers: other integers are widened, and text must be of digits (else the cast fails)."""
     return rows if rows.schema["doc_id"].dataType.typeName() == "long" else rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
@@ -57,8 +58,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that spark.checkpoint.dir names; a local one is set only where that is unset, as in tests."""
+    """Cuts lineage in the folder that spark.checkpoint.dir names; a machine's own folder is set only where that is unset and all runs in one process."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(os.environ.get("TMPDIR", "/tmp"), "caseloom-checkpoints"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or os.path.join(os.environ.get("TMPDIR", "/tmp"), "caseloom-checkpoints"))
     return df.checkpoint()

@@ -9,8 +9,8 @@ from .common import checkpointed
 #: A key has one salt for each of so many parts of all members that it has, so at most twice as many pairs of key and salt are hot.
 SHARES = 1 << 14
 STARS = 8
-#: Bits of the map by which rows are told from those that surely have no partner: 16 MB at most.
-BITS, BUCKET = 1 << 27, 1 << 15
+#: Bits of the map by which rows are told from those that surely have no partner: 4 MB at most.
+BITS, BUCKET = 1 << 25, 1 << 15
 
 
 def perhaps_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:

@@ -321,6 +321,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """Rows of df, all columns: of each component those of its smallest id, repeated rows once; rows without words or id stay."""
     found = components(df, id_col, text_col, k, percent)
     gone = found.where("doc_id is not null and n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti").dropDuplicates(df.columns)
+    # rows of an id lie together after the join; 128 bits tell those of one id apart, so no text is a sort key
+    hashed = df.join(gone, id_col, "left_anti").withColumns({f"_row{k}": F.xxhash64(F.lit(k), *df.columns, *(F.col(c).isNull() for c in df.columns)) for k in range(2)})
+    return hashed.dropDuplicates([id_col, "_row0", "_row1"]).select(*df.columns)
 
 

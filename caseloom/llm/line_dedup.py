@@ -26,20 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import checkpointed, id_text, small_batches
 from .graph import perhaps_in, with_group
-from .hashing import _PLACES, EXACT, mixed, places
+from .hashing import _PLACES, eight, mixed, places
 
 WINDOW, MIN_WORDS = 16, 20
 
 
-def keys(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The first eight bytes of each word as a number that orders like them."""
-    buf = np.frombuffer(data + b"\0" * 8, np.uint8)
-    out = np.zeros(len(starts), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | np.where(starts + k < ends, buf[starts + k], 0).astype(np.uint64)
-    return out
-
-
 def least(key: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
     """Places of the least word of each window inside a text, the rightmost of equals; window: a power of two."""
     at, width = np.arange(len(key)), 1
@@ -57,16 +48,17 @@ class Pieces:
 
     def __init__(self, texts: list[str], window: int = WINDOW) -> None:
         self.parts = [t.encode() for t in texts]
-        self.word, self.counts, self.starts, self.ends, self.data = places(self.parts, EXACT)
+        self.word, self.counts, self.starts, self.ends, self.data = places(self.parts, fold=False)
         n = len(self.word)
         self.begins = np.cumsum(self.counts) - self.counts
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
         cut = np.zeros(n, bool)
         if n:
-            feeds = np.concatenate([[0], np.cumsum(np.frombuffer(self.data, np.uint8) == 10)])
-            cut[1:] = feeds[self.starts[1:]] > feeds[self.ends[:-1]]
+            feeds = np.flatnonzero(np.frombuffer(self.data, np.uint8) == 10)
             cut[0] = True
-            cut[least(keys(self.data, self.starts, self.ends), self.doc, window)] = True
+            after = np.searchsorted(self.starts, feeds)  # the first word after each line feed
+            cut[after[after < n]] = True
+            cut[least(eight(self.data, self.starts, self.ends - self.starts), self.doc, window)] = True
         self.first = np.flatnonzero(cut)
         self.sizes = np.diff(self.first, append=n)
         place = np.arange(n) - np.repeat(self.first, self.sizes)
@@ -141,8 +133,15 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
             )
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(d[doc]), pa.array(p.hash[own].view(np.int64)), around], ["doc_id", "d", "gram", "around"])
 
-    grams = rows.where("doc_id is not null").mapInArrow(marks, f"doc_id {kind}, d int, gram bigint, around array<struct<s:int,m:int,key:bigint>>")
-    twice = grams.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1").withColumn("met", F.lit(True))
+    def counted_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = Pieces(b.column("text").to_pylist(), window)
+            gram, n = np.unique(p.hash[np.unique(fingerprints(p)[0])].view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
+
+    named = rows.where("doc_id is not null")
+    grams = named.mapInArrow(marks, f"doc_id {kind}, d int, gram bigint, around array<struct<s:int,m:int,key:bigint>>")
+    twice = named.select("text").mapInArrow(counted_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("members")).where("members > 1").withColumn("met", F.lit(True))
     near = with_group(grams, twice, "gram", F.struct("doc_id", "around")).where("met").select("doc_id", "d", F.explode("around").alias("x"))
     near = checkpointed(near.select("doc_id", "d", "x.s", "x.m", "x.key"))
     place = F.struct("doc_id", "d", "s")

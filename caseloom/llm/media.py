@@ -144,7 +144,14 @@ def lace_sizes(data: bytes, at: int, end: int, flags: int) -> tuple[list[int], i
 
 
 def read(data: bytes) -> Media:
-    """The packet table, tracks and cues of a Matroska file."""
+    """The packet table, tracks and cues of a Matroska file; ValueError if it is malformed."""
+    try:
+        return parsed(data)
+    except (struct.error, IndexError, UnicodeDecodeError) as e:
+        raise ValueError(f"malformed file: {e}") from e
+
+
+def parsed(data: bytes) -> Media:
     name, at = vint(data, 0, keep=True)
     if name != EBML:
         raise ValueError("not an EBML file")
@@ -175,8 +182,12 @@ def read(data: bytes) -> Media:
             continue
         if name in (SIMPLE, BLOCK):
             track, p = vint(data, at)
+            if p + 3 > end:
+                raise ValueError("a block without room for its header")
             rel, flags = struct.unpack_from(">hB", data, p)
             sizes, p = lace_sizes(data, p + 3, end, flags)
+            if p + sum(sizes) > end:
+                raise ValueError("frames reach beyond their block")
             one = next((t for t in tracks if t["number"] == track), None)
             step = 1000 / (one["rate"] * one["channels"] * max(1, one["depth"] // 8)) if one and one["depth"] else 0.0
             ms, key = (time + rel) * scale / 1e6, name == BLOCK or flags >= 128
@@ -230,19 +241,26 @@ def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", frame:
 
 
 def packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row for each packet: doc_id, packet, track, cluster, ts_ms, offset, size, keyframe."""
+    """One row for each packet: doc_id, packet, track, cluster, ts_ms, offset, size, keyframe; for a malformed file one row with its error alone."""
     base = df.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))
-    names = ["doc_id", "packet", *Packet._fields]
+    names = ["doc_id", "packet", *Packet._fields, "error"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kind = b.schema.field("doc_id").type
             for doc, data in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist(), strict=True):
-                if data and (found := read(data).packets):
+                if not data:
+                    continue
+                try:
+                    found = read(data).packets
+                except ValueError as e:
+                    yield pa.RecordBatch.from_arrays([pa.array([doc], kind), *(pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_())), pa.array([str(e)])], names)
+                    continue
+                if found:
                     cols = [*zip(*found, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), kind), pa.array(range(len(found)), pa.int32()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), kind), pa.array(range(len(found)), pa.int32()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5]), pa.nulls(len(found), pa.string())], names)
 
-    return base.mapInArrow(rows, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, packet int, track int, cluster int, ts_ms double, offset bigint, size bigint, keyframe boolean")
+    return base.mapInArrow(rows, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, packet int, track int, cluster int, ts_ms double, offset bigint, size bigint, keyframe boolean, error string")
 
 
 def digests(files: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ stops at `epochs` times its own size and the excess goes to the others by weight
 min(weight * level, cap), and the level follows from a running sum over the sources sorted by cap / weight.
 
 A document is taken floor(target / source size) times, and once more if it lies in the fraction left: documents stand
-in a seeded order, cut into HASH_BUCKETS ranges of the hash; ranges below the cut are taken whole, and only the range
+in a seeded order, cut into HASH_BUCKETS ranges of the hash (at most so many rows a source in the table of ranges); ranges below the cut are taken whole, and only the range
 that the cut falls into is ordered, so no task orders a source. The taken size misses a target by half a document at
 most. Rows outside that range are decided where they lie: the table of sources is broadcast if it has at most
 MOST_NAMES bytes of names and MOST_SOURCES rows, else joined by source and SALTS salts.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import WORD, checkpointed
 
-EPOCHS, SEED, HASH_BUCKETS = 3, 20, 1024
+EPOCHS, SEED, HASH_BUCKETS = 3, 20, 1 << 16
 MOST_SOURCES, MOST_NAMES, SALTS = 100_000, 1 << 23, 64
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import id_text, small_batches
 from .token_counts import LETTERS, PIECES, PLAIN, PLAIN_PIECES
 
-WINDOW, OPEN, GROUP, END_ID, KEPT_PIECES, AT_ONCE, CALL = 2048, 64, 64, 1, 200_000, 1 << 16, 200
+WINDOW, OPEN, GROUP, END_ID, KEPT_PIECES, AT_ONCE, CALL = 2048, 64, 16, 1, 200_000, 1 << 16, 200
 #: Such pieces laid end to end are split into the same pieces again, so many are encoded in one call.
 SPACED = re.compile(f" [{LETTERS}]{{1,62}}")
 PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -2,14 +2,14 @@
 
 An anchor is a common word of the list below (any language). Its signature is the anchor with the next CHAIN content
 words, each DISTANCE content words on; the fingerprint is the sorted set of 32-bit signature hashes, in base 64. A text
-without any full signature gives one of all its words, so short texts have fingerprints too; without words the set and
-the fingerprint are empty.
+without any full signature gives those of all runs of CHAIN + 1 of its words, with fewer words one of them all, and without any
+word one of its characters, so all texts but the empty one have fingerprints.
 
 Likeness is Jaccard of two sets, 1 for two empty ones. near_duplicates() partitions sets by their length and compares only
 those that share a signature of their prefix and whose lengths allow the threshold.
 
 Null text is empty. Equal texts have equal fingerprints. Rows with one doc_id stand in the order of their texts. Only
-the id and text columns are read.
+the id and text columns are read. near_duplicates() leaves out null ids and empty fingerprints, and gives no pairs of an empty table.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
     """Pairs (a, b, likeness) of representatives, the smallest ids of equal fingerprints, with likeness at or above the threshold; membership is fingerprints()'s equality."""
-    reps = fingerprints(df, id_col, text_col).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("signatures").alias("s")).where(F.size("s") > 0)
+    reps = fingerprints(df, id_col, text_col).where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("signatures").alias("s")).where(F.size("s") > 0)
     n = F.size("s")
     step = float(np.log(1 / threshold))
     part = F.floor(F.log(n.cast("double")) / step).cast("int")

@@ -44,7 +44,12 @@ class Merges:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             table = json.load(f)
-        vocab = table["model"]["vocab"]
+        before, model = table.get("pre_tokenizer") or {}, table["model"]
+        plain = model["type"] == "BPE" and not model.get("ignore_merges") and not table.get("normalizer")
+        plain = plain and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        if not plain or any(t.get(k) for t in table.get("added_tokens") or [] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError(f"{path} is no plain byte-level vocabulary")
+        vocab = model["vocab"]
         self.first = [vocab[c] for _, c in sorted(printable_bytes().items())]
         self.rank: dict[int, int] = {}
         self.made: list[int] = []

@@ -1,18 +1,19 @@
 """Toxic spans by a linear-chain conditional random field over words, aggregated to document scores.
 
 Labels are given for documents only, so training first marks tokens: words that tell toxic from clean training documents
-are picked greedily, each for the toxic documents that no earlier word explains, then the other frequent ones, and their
+are picked greedily, each for the toxic documents that no earlier word explains, then the other frequent ones (MOST_SEEDS at most), and their
 places in toxic documents are the toxic tokens. Then, language by language, pieces of words (4-7 characters with the word's edges) are picked
 that make up a share of a text's words in toxic documents and hardly ever in clean ones; where they make up that share, in any document,
 the words with them are toxic tokens, elsewhere not. The field has two states, features of the word itself (identity, prefix, suffix, length)
-or, where it has picked pieces, of their share of the whole text, and learned transitions; it is trained on windows around toxic tokens, around words with
-picked pieces in other documents, and on windows of clean documents, all spread over whole texts. Forward-backward marginals of all
+or, where it has picked pieces, of their share of the whole text. Emission weights, transitions and start are fitted together to the
+likelihood of the marked tokens of whole texts, each a chain, by gradient steps (marked less expected counts). Forward-backward marginals of all
 tokens of a whole text give its score, the largest marginal, and the offsets of runs of tokens at or above one half.
 
-Fitting reads at most MOST_TOXIC and MOST_CLEAN labelled texts, chosen by hash of the id; scoring reads every text.
+Fitting reads at most MOST_TOXIC and MOST_CLEAN labelled texts, chosen by hash of the id, whole, copies once; scoring reads every text.
 Null and empty texts, and texts without words, score 0. Equal texts get equal scores. Rows with a null id are scored but
 never used for fitting. Without any toxic training document every score is 0. Only the named columns are read. A text
-of any length is scored as one chain, its forward and backward messages computed over blocks of tokens.
+of any length is scored as one chain, its forward and backward messages computed over blocks of tokens; a pass takes texts of
+about PASS characters together, so memory is bounded by the longest text.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import id_text, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
-MOST_TOXIC, MOST_CLEAN, MOST_SEEDS, SLOTS, REACH, EPOCHS, KEPT = 1500, 3000, 400, 1 << 16, 8, 60, 300_000
+MOST_TOXIC, MOST_CLEAN, MOST_SEEDS, SLOTS, EPOCHS, KEPT, PASS = 1500, 3000, 400, 1 << 16, 60, 300_000, 1_000_000
 #: Shares of a text's words that a piece is judged at, the least part of a language's toxic documents it must have it in, and the largest of its clean ones.
 SHARES, COVERS, STRAYS = (0.005, 0.0075, 0.01, 0.0125, 0.015, 0.02), 0.1, 0.01
 
@@ -86,50 +87,64 @@ class Field:
 
     def marginals(self, emissions: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Of state 1, for chains laid end to end; first: true where a chain begins."""
-        return chained(emissions, first, np.exp(self.trans), self.start)
+        return chained(emissions, first, np.exp(self.trans), self.start)[0]
 
 
-def chained(emissions: np.ndarray, first: np.ndarray, trans: np.ndarray, start: float, width: int = 128) -> np.ndarray:
-    """Forward-backward marginals: products of 2x2 step matrices within blocks, for all blocks at once, then along the blocks."""
+def chained(emissions: np.ndarray, first: np.ndarray, trans: np.ndarray, start: float, width: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward marginals, and the expected number of steps from state to state.
+
+    Products of 2x2 step matrices within blocks, for all blocks at once, then along the blocks, then messages inside them.
+    """
     n = len(emissions)
     if not n:
-        return np.zeros(0)
+        return np.zeros(0), np.zeros((2, 2))
     blocks = -(-n // width)
     e = np.zeros(blocks * width)
     e[:n] = np.clip(emissions, -30, 30)
     begins = np.ones(blocks * width, bool)
     begins[:n] = first
-    e, begins = e.reshape(blocks, width), begins.reshape(blocks, width)
-    lift = np.stack([1 / (1 + np.exp(e)), 1 / (1 + np.exp(-e))], -1)
-    head = np.array([1 / (1 + np.exp(start)), 1 / (1 + np.exp(-start))])
-    # step[t][i, j]: from state i before t to state j at t; at a chain's beginning the state before doesn't matter
-    step = np.where(begins[..., None, None], head, trans) * lift[..., None, :]
-    product = np.broadcast_to(np.eye(2), (blocks, 2, 2)).copy()
+    # one row a step of all blocks, which lie side by side
+    lift = 1 / (1 + np.exp(-e.reshape(blocks, width).T))
+    begins = np.ascontiguousarray(begins.reshape(blocks, width).T)
+    head = 1 / (1 + np.exp(-start))
+    # m[i][j]: from state i before a token to state j at it; at a chain's beginning the state before doesn't matter
+    m = [[np.where(begins, (1 - head, head)[j], trans[i, j]) * (1 - lift, lift)[j] for j in range(2)] for i in range(2)]
+    p = [[np.ones(blocks) if i == j else np.zeros(blocks) for j in range(2)] for i in range(2)]
     for t in range(width):
-        product = product @ step[:, t]
-        product /= product.sum((1, 2), keepdims=True)
-    alpha, state = np.empty((blocks, 2)), head.copy()
+        p = [[p[i][0] * m[0][j][t] + p[i][1] * m[1][j][t] for j in range(2)] for i in range(2)]
+        scale = p[0][0] + p[0][1] + p[1][0] + p[1][1]
+        p = [[x / scale for x in row] for row in p]
+    whole = np.array(p).transpose(2, 0, 1)
+    alpha, state = np.empty((blocks, 2)), np.array([1 - head, head])
     for b in range(blocks):
         alpha[b] = state
-        state = state @ product[b]
+        state = state @ whole[b]
         state /= state.sum()
     beta, state = np.empty((blocks, 2)), np.ones(2)
     for b in range(blocks - 1, -1, -1):
         beta[b] = state
-        state = product[b] @ state
+        state = whole[b] @ state
         state /= state.sum()
-    forward = np.empty((blocks, width, 2))
+    a0, a1 = alpha.T
+    forward = np.empty((width + 1, 2, blocks))
+    forward[0] = a0, a1
     for t in range(width):
-        alpha = np.einsum("bi,bij->bj", alpha, step[:, t])
-        alpha /= alpha.sum(1, keepdims=True)
-        forward[:, t] = alpha
-    out = np.empty((blocks, width))
+        b0, b1 = a0 * m[0][0][t] + a1 * m[1][0][t], a0 * m[0][1][t] + a1 * m[1][1][t]
+        a1 = b1 / (b0 + b1)
+        a0 = 1 - a1
+        forward[t + 1] = a0, a1
+    out, steps = np.empty((width, blocks)), np.zeros((2, 2))
+    inner = ~begins
+    z0, z1 = beta.T
     for t in range(width - 1, -1, -1):
-        joint = forward[:, t] * beta
-        out[:, t] = joint[:, 1] / joint.sum(1)
-        beta = np.einsum("bij,bj->bi", step[:, t], beta)
-        beta /= beta.sum(1, keepdims=True)
-    return out.reshape(-1)[:n]
+        joint = forward[t + 1, 1] * z1
+        out[t] = joint / (forward[t + 1, 0] * z0 + joint)
+        to = [[forward[t, i] * m[i][j][t] * (z0, z1)[j] for j in range(2)] for i in range(2)]
+        weight = np.where(inner[t], 1 / (to[0][0] + to[0][1] + to[1][0] + to[1][1]), 0)
+        steps += [[float((x * weight).sum()) for x in row] for row in to]
+        b0, b1 = m[0][0][t] * z0 + m[0][1][t] * z1, m[1][0][t] * z0 + m[1][1][t] * z1
+        z0, z1 = b0 / (b0 + b1), b1 / (b0 + b1)
+    return out.T.reshape(-1)[:n], steps
 
 
 def telling_words(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
@@ -201,80 +216,43 @@ def telling_pieces(toxic: list[tuple[str, list[str]]], clean: list[tuple[str, li
     return chosen
 
 
-def unlike(texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Without copies: texts (of a language) whose beginning or middle an earlier one has would count the same words again."""
-    seen: set[str] = set()
-    out = []
-    for lang, t in sorted(set(texts), key=lambda x: (x[1], x[0])):
-        keys = {t[:80], t[len(t) // 2 :][:80]}
-        if not keys & seen:
-            out.append((lang, t))
-        seen |= keys
-    return out
-
-
-def spread(at: list[int], most: int) -> list[int]:
-    """At most so many of the places, from the first to the last at even steps."""
-    return at[:: -(-len(at) // most)] if at else []
-
-
 def fitted(toxic: list[tuple[str, str]], clean: list[tuple[str, str]]) -> Field:
     """Texts with their languages."""
-    bad = [(lang, WORD.findall(t.lower())) for lang, t in unlike(toxic)]
-    good = [(lang, WORD.findall(t.lower())) for lang, t in unlike(clean)]
+    bad = [(lang, WORD.findall(t.lower())) for t, lang in sorted({(t, lang) for lang, t in toxic})]
+    good = [(lang, WORD.findall(t.lower())) for t, lang in sorted({(t, lang) for lang, t in clean})]
     seeds = telling_words([d for _, d in bad], [d for _, d in good])
-    off = Field(np.zeros(1), np.zeros((2, 2)), 0.0, empty=True)
     picked = telling_pieces(bad, good, seeds)
     if not seeds and not picked:
-        return off
+        return Field(np.zeros(1), np.zeros((2, 2)), 0.0, empty=True)
     carried: dict[str, list[str]] = {}
-
-    def typed(words: list[str]) -> list[tuple[str, tuple[str, ...]]]:
-        """Words with the picked pieces that have their share of the text."""
-        for w in words:
+    kinds: dict[tuple[str, tuple[str, ...]], int] = {}
+    kind, first, marked = [], [], []
+    for d, toxic_text in [*((d, True) for _, d in bad), *((d, False) for _, d in good)]:
+        for w in d:
             if w not in carried:
                 carried[w] = [x for x in picked if x in f"^{w}$"]
-        full = dense([(k, carried[w]) for k, w in enumerate(words) if carried[w]], len(words), picked)
-        return [(w, tuple(full.get(k, ()))) for k, w in enumerate(words)]
-
-    windows, near, clean_windows, width = [], [], [], 2 * REACH + 1
-    around = lambda d, at: [d[max(0, k - REACH) : k + REACH + 1] for k in spread(at, 20)]
-    for d in (typed(words) for _, words in bad):
-        windows += around(d, [k for k, (w, full) in enumerate(d) if full or w in seeds and not carried[w]])
-    for d in (typed(words) for _, words in good):
-        near += around(d, [k for k, (w, _) in enumerate(d) if carried[w]])
-        clean_windows += [d[k : k + width] for k in spread(list(range(0, len(d), 5 * width)), 8)]
-    rng = np.random.default_rng(7)
-    keep = rng.permutation(len(clean_windows))[: max(2000, 2 * len(windows))]
-    windows += near + [clean_windows[k] for k in keep]
-    y = np.zeros((len(windows), width))
-    mask = np.zeros((len(windows), width), bool)
-    kinds: dict[tuple[str, tuple[str, ...]], int] = {}
-    kind = np.zeros((len(windows), width), np.int64)
-    for r, ws in enumerate(windows):
-        for c, (w, full) in enumerate(ws):
-            y[r, c], mask[r, c], kind[r, c] = bool(full) or w in seeds and not carried[w], True, kinds.setdefault((w, full), len(kinds))
+        full = dense([(k, carried[w]) for k, w in enumerate(d) if carried[w]], len(d), picked)
+        for k, w in enumerate(d):
+            kind.append(kinds.setdefault((w, tuple(full.get(k, ()))), len(kinds)))
+            marked.append(k in full or toxic_text and w in seeds and not carried[w])
+            first.append(not k)
     own = [features(w, carried[w], full) for w, full in kinds]
     slots, owner = np.concatenate([np.array(x) for x in own]), np.repeat(np.arange(len(own)), [len(x) for x in own])
-    weights, grad2 = np.zeros(SLOTS), np.full(SLOTS, 1e-3)
-    stay = np.zeros((2, 2))
-    pairs = (mask[:, :-1] & mask[:, 1:])[..., None, None]
-    a, b = y[:, :-1].astype(int), y[:, 1:].astype(int)
-    for i in range(2):
-        for j in range(2):
-            stay[i, j] = ((a == i) & (b == j) & pairs[..., 0, 0]).sum() + 1.0
-    trans = np.log(stay / stay.sum(1, keepdims=True))
-    start = float(np.log((y[:, 0].sum() + 1) / ((1 - y[:, 0]).sum() + 1)))
-    first = np.zeros((len(windows), width), bool)
-    first[:, 0] = True
+    kind, first, y = np.array(kind), np.array(first), np.array(marked, float)
+    inner = ~first[1:]
+    steps = np.zeros((2, 2))
+    np.add.at(steps, (y[:-1][inner].astype(int), y[1:][inner].astype(int)), 1)
+    # parameters: slots, four transitions, start
+    theta, grad2 = np.zeros(SLOTS + 5), np.full(SLOTS + 5, 1e-3)
+    by_kind = np.bincount(kind, y, len(own))
     for _ in range(EPOCHS):
-        e = np.where(mask, np.bincount(owner, weights[slots], len(own))[kind], 0.0)
-        p = chained(e.reshape(-1), first.reshape(-1), np.exp(trans), start).reshape(y.shape)
-        miss = np.where(mask, y - p, 0.0)
-        g = np.bincount(slots, np.bincount(kind.reshape(-1), miss.reshape(-1), len(own))[owner], SLOTS) - 0.02 * weights
+        e = np.bincount(owner, theta[slots], len(own))[kind]
+        p, expected = chained(e, first, np.exp(theta[SLOTS:-1].reshape(2, 2)), theta[-1])
+        miss = by_kind - np.bincount(kind, p, len(own))
+        g = np.concatenate([np.bincount(slots, miss[owner], SLOTS), (steps - expected).reshape(-1), [(y - p)[first].sum()]]) - 0.02 * theta
         grad2 += g * g
-        weights += 0.5 * g / np.sqrt(grad2)
-    return Field(weights, trans, start, picked=picked)
+        theta += 0.5 * g / np.sqrt(grad2)
+    return Field(theta[:SLOTS], theta[SLOTS:-1].reshape(2, 2), float(theta[-1]), picked=picked)
 
 
 def held_out(doc_id):
@@ -311,12 +289,18 @@ def document_scores(net: Field, texts: list[str]) -> tuple[list[float], list[np.
     if len(net.carried) > KEPT:
         net.known.clear()
         net.carried.clear()
-    rows = [net.emissions(WORD.findall(t.lower())) for t in texts]
-    sizes = np.array([len(r) for r in rows], np.int64)
-    ends = np.cumsum(sizes)
-    first = np.zeros(int(sizes.sum()), bool)
-    first[(ends - sizes)[sizes > 0]] = True
-    p = np.split(net.marginals(np.fromiter((x for r in rows for x in r), float, len(first)), first), ends[:-1])
+    p: list[np.ndarray] = []
+    while len(p) < len(texts):
+        rows, held = [], 0
+        while held <= PASS and len(p) + len(rows) < len(texts):
+            text = texts[len(p) + len(rows)]
+            rows.append(net.emissions(WORD.findall(text.lower())))
+            held += len(text)
+        sizes = np.array([len(r) for r in rows], np.int64)
+        ends = np.cumsum(sizes)
+        first = np.zeros(int(sizes.sum()), bool)
+        first[(ends - sizes)[sizes > 0]] = True
+        p += np.split(net.marginals(np.fromiter((x for r in rows for x in r), float, len(first)), first), ends[:-1])
     return [float(x.max()) if len(x) else 0.0 for x in p], p
 
 
