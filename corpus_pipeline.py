@@ -23,11 +23,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`; between them rows lie in the warehouse, which all executors share."""
+    """Applies the stages to `documents`, at once; between them rows lie in the warehouse, which all executors share, until the next stage is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corpus_pipeline/{uuid.uuid4().hex}"
+    out = None
     for k, (name, stage) in enumerate(STAGES):
-        out = f"{base}/{k}_{name}"
+        before, out = out, f"{base}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs
