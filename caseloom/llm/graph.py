@@ -40,7 +40,7 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, salt: Column, cut:
     hot = whole.crossJoin(F.broadcast(total)).select(key, F.ceil(F.col("members") * SHARES / F.col("_all")).cast("int").alias("_cuts")).where("_cuts > 1")
     # renamed: rows and groups may come from one frame
     hot = hot.select(F.col(key).alias("_hot"), F.col("_cuts"))
-    salted = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(salt), F.lit(SHARES))).otherwise(F.coalesce(F.pmod(F.xxhash64(salt), F.col("_cuts")), F.lit(0))).cast("int")).drop("_hot", "_cuts")
+    salted = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(salt), F.lit(SHARES))).when(F.col("_cuts") > 1, F.pmod(F.xxhash64(salt), F.col("_cuts"))).otherwise(0).cast("int")).drop("_hot", "_cuts")
     dealt = groups.select(F.col(key).alias("_of"), *rest).join(F.broadcast(hot), F.col("_of") == F.col("_hot"), "left")
     dealt = dealt.select("_of", *rest, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_cuts"), F.lit(1)) - 1)).alias("_part"))
     return salted.join(dealt, (F.col(key) == F.col("_of")) & (F.col("_salt") == F.col("_part")), "left").select(*rows.columns, *rest)

@@ -43,14 +43,28 @@ def least(key: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
     return at[doc[: len(at)] == doc[window - 1 : window - 1 + len(at)]]
 
 
-class Pieces:
-    """The words of some texts and the pieces that they are cut into; all numbers are over all texts, end to end."""
+class Words:
+    """The words of some texts, end to end."""
 
-    def __init__(self, texts: list[str], window: int = WINDOW) -> None:
+    def __init__(self, texts: list[str]) -> None:
         self.parts = [t.encode() for t in texts]
         self.word, self.counts, self.starts, self.ends, self.data = places(self.parts, fold=False)
-        n = len(self.word)
         self.begins = np.cumsum(self.counts) - self.counts
+
+    def around(self, doc: int, at: int, reach: int) -> tuple[list[int], list[int]]:
+        """Hashes of up to reach words of a text before a place, the nearest first, and from it on."""
+        a = int(self.begins[doc])
+        here, end = a + at, a + int(self.counts[doc])
+        as_signed = lambda x: x.view(np.int64).tolist()
+        return as_signed(self.word[max(a, here - reach) : here][::-1].copy()), as_signed(self.word[here : min(end, here + reach)])
+
+
+class Pieces(Words):
+    """And the pieces that they are cut into; numbers are over all texts."""
+
+    def __init__(self, texts: list[str], window: int = WINDOW) -> None:
+        super().__init__(texts)
+        n = len(self.word)
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
         cut = np.zeros(n, bool)
         if n:
@@ -71,13 +85,6 @@ class Pieces:
         """Words of the pair that begins at piece i."""
         return self.sizes[i] + self.sizes[i + 1]
 
-    def around(self, doc: int, at: int, reach: int) -> tuple[list[int], list[int]]:
-        """Hashes of up to reach words of a text before a place, the nearest first, and from it on."""
-        a = int(self.begins[doc])
-        here, end = a + at, a + int(self.counts[doc])
-        as_signed = lambda x: x.view(np.int64).tolist()
-        return as_signed(self.word[max(a, here - reach) : here][::-1].copy()), as_signed(self.word[here : min(end, here + reach)])
-
 
 def fingerprints(p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Of each two neighbouring pieces of a text the one of lower hash, the right one of equals; and the pairs."""
@@ -106,6 +113,10 @@ def long_runs(doc: np.ndarray, start: np.ndarray, size: np.ndarray, min_words: i
     return order, first[enough], last[enough]
 
 
+def words_in(text: str | None) -> int:
+    return len(text.encode().split()) if text else 0
+
+
 def short_digest(text: str) -> int:
     """Tells texts of one doc_id apart."""
     return zlib.crc32(text.encode()) & 0xFFFF
@@ -142,7 +153,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     named = rows.where("doc_id is not null")
     grams = named.mapInArrow(marks, f"doc_id {kind}, d int, gram bigint, around array<struct<s:int,m:int,key:bigint>>")
     twice = named.select("text").mapInArrow(counted_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("members")).where("members > 1").withColumn("met", F.lit(True))
-    near = with_group(grams, twice, "gram", F.struct("doc_id", "around")).where("met").select("doc_id", "d", F.explode("around").alias("x"))
+    near = with_group(grams, twice, "gram", F.struct("doc_id", F.get("around", F.lit(0))["s"])).where("met").select("doc_id", "d", F.explode("around").alias("x"))
     near = checkpointed(near.select("doc_id", "d", "x.s", "x.m", "x.key"))
     place = F.struct("doc_id", "d", "s")
     first = near.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("members")).where("members > 1")
@@ -179,7 +190,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
         for b in batches:
             asked = b.filter(b.column("wanted").is_valid())
             texts, out = [x or "" for x in asked.column("text").to_pylist()], []
-            p = Pieces(texts, window)
+            p = Words(texts)
             for k, (doc, text, wanted) in enumerate(zip(asked.column("doc_id").to_pylist(), texts, asked.column("wanted").to_pylist(), strict=True)):
                 d = short_digest(text)
                 out += [(doc, d, w["at"], w["side"], w["members"], p.around(k, w["at"], window)[w["side"]]) for w in wanted if w["d"] == d]
@@ -195,9 +206,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, texts = [], b.column("text").to_pylist()
-            p = Pieces([x or "" for x in texts], window)
+            p = Words([x if x and ends else "" for x, ends in zip(texts, b.column("ends").to_pylist(), strict=True)])
             for k, (text, ends) in enumerate(zip(texts, b.column("ends").to_pylist(), strict=True)):
-                n, off, d = int(p.counts[k]), None, short_digest(text or "") if ends else 0
+                n, off, d = int(p.counts[k]) if ends else words_in(text), None, short_digest(text or "") if ends else 0
                 for x in ends or []:
                     if x["d"] == d:
                         off = np.zeros(n + 1, bool) if off is None else off
@@ -227,7 +238,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = pa.array([len(x.encode().split()) if x else 0 for x in b.column("text").to_pylist()], pa.int64())
+            n = pa.array([words_in(x) for x in b.column("text").to_pylist()], pa.int64())
             zero = pa.array(np.zeros(b.num_rows, np.int64))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), n, zero, zero, *([b.column("row")] if keep else [])], ["doc_id", "text", "n_words", "n_removed", "n_runs", *(["row"] if keep else [])])
 
