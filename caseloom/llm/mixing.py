@@ -5,8 +5,8 @@ stops at `epochs` times its own size and the excess goes to the others by weight
 min(weight * level, cap), and the level follows from a running sum over the sources sorted by cap / weight.
 
 A document is taken floor(target / source size) times, and once more if it lies in the fraction left: documents stand
-in a seeded order, cut into HASH_BUCKETS ranges of the hash (at most so many rows a source in the table of ranges); ranges below the cut are taken whole, and only the range
-that the cut falls into is ordered, so no task orders a source. The taken size misses a target by half a document at
+in a seeded order, cut into HASH_BUCKETS ranges of the hash, each again into as many; ranges below the cut are taken whole, and only the
+range of the second cut, about a millionth of a source, is ordered. The taken size misses a target by half a document at
 most. Rows outside that range are decided where they lie: the table of sources is broadcast if it has at most
 MOST_NAMES bytes of names and MOST_SOURCES rows, else joined by source and SALTS salts.
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import WORD, checkpointed
 
-EPOCHS, SEED, HASH_BUCKETS = 3, 20, 1 << 16
+EPOCHS, SEED, HASH_BUCKETS = 3, 20, 1024
 MOST_SOURCES, MOST_NAMES, SALTS = 100_000, 1 << 23, 64
 
 
@@ -54,7 +54,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
         *([F.struct(*(F.col(c) for c in keep)).alias("row")] if keep else []),
-    ).withColumn("b", F.pmod(F.shiftright("h", 40), F.lit(HASH_BUCKETS)))
+    ).withColumns({"b": F.pmod(F.shiftright("h", 40), F.lit(HASH_BUCKETS)), "b2": F.pmod(F.shiftright("h", 20), F.lit(HASH_BUCKETS))})
     buckets = rows.groupBy("source", "b").agg(F.sum("size").alias("bucket_size"))
     sources = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, epochs)
     running = W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -71,12 +71,19 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         .agg(F.min(F.when(beyond, F.struct("b", (F.col("upto") - F.col("bucket_size")).alias("below")))).alias("cut"))
         .select("source", "source_size", "target", "whole", "left", F.coalesce("cut.b", F.lit(HASH_BUCKETS)).alias("cut"), F.coalesce("cut.below", F.lit(0)).alias("below"))
     )
-    known = by_source(rows, plan)
+    # the range of the cut, in ranges of its own
+    parts = by_source(rows, plan).where("b = cut").groupBy("source", "b2", "left", "below").agg(F.sum("size").alias("part_size"))
+    upto2 = F.col("below") + F.sum("part_size").over(W.partitionBy("source").orderBy("b2").rowsBetween(W.unboundedPreceding, W.currentRow))
+    fine = parts.withColumn("upto", upto2).groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("left"), F.struct("b2", (F.col("upto") - F.col("part_size")).alias("below")))).alias("fine"))
+    named = plan.alias("x").join(fine.withColumnRenamed("source", "of").alias("y"), F.col("x.source").eqNullSafe(F.col("y.of")), "left")
+    known = by_source(rows, checkpointed(named.select("source", "source_size", "target", "whole", "left", "cut", F.coalesce("fine.b2", F.lit(HASH_BUCKETS)).alias("cut2"), F.coalesce("fine.below", F.lit(0)).alias("below"))))
     again = F.col("whole") < epochs
-    apart = known.where("b <> cut").withColumn("repeats", F.col("whole") + (again & (F.col("b") < F.col("cut"))).cast("bigint"))
+    last = (F.col("b") == F.col("cut")) & (F.col("b2") == F.col("cut2"))
+    under = (F.col("b") < F.col("cut")) | ((F.col("b") == F.col("cut")) & (F.col("b2") < F.col("cut2")))
+    apart = known.where(~last).withColumn("repeats", F.col("whole") + (again & under).cast("bigint"))
     order = W.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("size").over(order), F.lit(0))
-    within = known.where("b = cut").withColumn("repeats", F.col("whole") + (again & (F.col("below") + inside + F.col("size") / 2 <= F.col("left"))).cast("bigint"))
+    within = known.where(last).withColumn("repeats", F.col("whole") + (again & (F.col("below") + inside + F.col("size") / 2 <= F.col("left"))).cast("bigint"))
     return apart.unionByName(within).select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).cast("bigint").alias("taken"), *(["row"] if keep else []))
 
 
