@@ -1,99 +1,52 @@
-"""Similarity of short labels, canonical digests of nested values and name-based ids."""
+"""Canonical digests of nested values and name-based ids."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
-import unicodedata
 import uuid
 from collections.abc import Iterator
-from difflib import SequenceMatcher
-from functools import cached_property, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType, StringType
-
-# Words without weight, and signs that count as a hyphen.
-LIGHT_WORDS = frozenset("a an the of and or in on at to for with by from was were is are be been as this that".split())
-HYPHENS = "−‒–—‐‑﹣－"
-CONTAINED = 0.75
+from pyspark.sql.types import StringType
 
 #: Ids of this library's own name space.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "caseloom")
 
 
-class Label:
-    """One label in the forms that are compared."""
-
-    def __init__(self, text: str | None) -> None:
-        self.text = unicodedata.normalize("NFKC", text or "")
-
-    @cached_property
-    def key(self) -> str:
-        """ASCII words and numbers in folded case, one blank between; the micro sign as u."""
-        return " ".join(re.findall("[a-z0-9]+", re.sub("[µμ]", "u", self.text.casefold())))
-
-    @cached_property
-    def signs(self) -> str:
-        """All that is no white space, in folded case, hyphens alike."""
-        return "".join(re.sub(f"[{HYPHENS}]", "-", self.text).casefold().split())
-
-    @cached_property
-    def words(self) -> frozenset[str]:
-        """Words in the singular; those of weight, if there are any."""
-        every = frozenset(re.sub(r"(?<=[^s]{1})s$", "", w) if len(w) > 3 else w for w in self.key.split())
-        return every - LIGHT_WORDS or every
-
-
-@lru_cache(maxsize=100_000)
-def label(text: str | None) -> Label:
-    return Label(text)
-
-
-def similarity(a: str | None, b: str | None) -> float:
-    """0 to 1: the largest of the words' Dice, three quarters of their containment, and the ratio of matching characters.
-
-    Labels without words are alike if their signs are equal and there are any. Null is an empty label.
-    """
-    x, y = label(a), label(b)
-    if not (x.key and y.key):
-        return float(bool(x.signs) and x.signs == y.signs)
-    if x.key == y.key:
-        return 1.0
-    common, sizes = len(x.words & y.words), (len(x.words), len(y.words))
-    by_words = max(2 * common / sum(sizes), CONTAINED * common / min(sizes))
-    lengths = len(x.key), len(y.key)
-    if 2 * min(lengths) / sum(lengths) <= by_words:  # the characters can't do better
-        return by_words
-    return max(by_words, SequenceMatcher(None, x.key, y.key, autojunk=False).ratio())
-
-
 def canonical(value: object, compact: bool = True) -> str:
     """JSON of sorted keys; compact or with blanks after commas and colons. NaN is refused."""
     return json.dumps(value, sort_keys=True, ensure_ascii=False, allow_nan=False, separators=(",", ":") if compact else (", ", ": "))
 
 
-@F.pandas_udf(DoubleType())
-def _similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in batches:
-        yield pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _digested(text: str | None, compact: bool) -> str | None:
+    try:
+        return None if text is None else hashlib.sha256(canonical(json.loads(text), compact).encode()).hexdigest()
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(StringType())
+def _compact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for b in batches:
+        yield pd.Series([_digested(x, True) for x in b], dtype="object")
 
 
 @F.pandas_udf(StringType())
-def _digest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _spaced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for b in batches:
-        yield pd.Series([None if x is None else hashlib.sha256(canonical(json.loads(x)).encode()).hexdigest() for x in b], dtype="object")
+        yield pd.Series([_digested(x, False) for x in b], dtype="object")
 
 
-def label_similarity(a: Column, b: Column) -> Column:
-    return _similarity(a, b)
+def json_digest(col: Column, compact: bool = True) -> Column:
+    """SHA-256 of the canonical form of a JSON text, whatever its order of keys and blanks; null of null, of malformed JSON and of NaN."""
+    return (_compact if compact else _spaced)(col)
 
 
-def json_digest(col: Column) -> Column:
-    """SHA-256 of the canonical form of a JSON text, whatever its order of keys and blanks; null of null."""
-    return _digest(col)
+def flat_digest(fields: dict[str, Column]) -> Column:
+    """json_digest() of an object of strings, numbers and booleans (null where null), in built-in functions; keys are sorted here."""
+    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)
 
 
 def stable_id(*parts: Column, namespace: uuid.UUID = NAMESPACE) -> Column:
