@@ -251,12 +251,12 @@ def links(cands: DataFrame, percent: int, parts: int) -> DataFrame:
     """
     posted = cands.select("doc_id", F.explode("prefix").alias("token"))
     met = posted.groupBy("token").agg(F.min("doc_id").alias("least"), F.count("*").alias("members")).where("members > 1")
-    stars = with_group(posted, met, "token", F.col("doc_id")).where("least is not null and least <> doc_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    stars = with_group(posted, met, "token", F.col("doc_id"), cut=False).where("least is not null and least <> doc_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     cluster = connected_components(stars)
     placed = cands.select("doc_id", "n", "tokens").join(cluster.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
     size = placed.groupBy("cluster").agg(F.count("*").alias("members"), F.sum(F.octet_length("tokens") / 8).alias("weight"))
     size = size.select("cluster", "members", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("weight") / BLOCK_TOKENS)).cast("int").alias("cuts"))
-    sized = with_group(placed, size, "cluster", F.col("doc_id")).withColumn("mine", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("cuts")).cast("int"))
+    sized = with_group(placed, size, "cluster", F.col("doc_id"), cut=False).withColumn("mine", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("cuts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
     sent = sized.withColumn("pair", F.explode(pairs)).withColumn("i", F.col("pair.i")).withColumn("j", F.col("pair.j"))
     side = F.when(F.col("i") == F.col("j"), 0).when(F.col("mine") == F.col("i"), -1).otherwise(1)
