@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import id_text, small_batches
 from .token_counts import LETTERS, PIECES, PLAIN, PLAIN_PIECES
 
-WINDOW, OPEN, GROUP, END_ID, KEPT_PIECES, AT_ONCE, CALL = 2048, 64, 16, 1, 200_000, 1 << 16, 200
+WINDOW, OPEN, GROUP, END_ID, KEPT_PIECES, AT_ONCE, CALL = 2048, 64, 16, 1, 140_000, 1 << 16, 200
 #: Such pieces laid end to end are split into the same pieces again, so many are encoded in one call.
 SPACED = re.compile(f" [{LETTERS}]{{1,62}}")
 PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -44,10 +44,11 @@ def tokenizer(path: str):
 
 
 class Pieces(dict):
-    """The library's ids, as bytes, of pieces that a byte-level vocabulary encodes on their own; a bounded number is kept."""
+    """The library's ids, as bytes, of pieces that a byte-level vocabulary encodes on their own; two generations of KEPT_PIECES are kept, so that common ones stay."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.whole = tokenizer(path)
         with open(path, encoding="utf-8") as f:
             table = json.load(f)
@@ -60,6 +61,10 @@ class Pieces(dict):
         self.begins = np.zeros(max(vocab.values()) + 1, bool)
         self.begins[[k for w, k in vocab.items() if w.startswith("\u0120")]] = True
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.whole.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         if len(piece) < 64:
@@ -68,6 +73,10 @@ class Pieces(dict):
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces ahead, those of a space and letters CALL at a time; the rest is left to __missing__."""
+        if self.old:
+            known = {p for p in pieces if p in self.old}
+            self.update((p, self.old[p]) for p in known)
+            pieces = pieces - known
         words = [*filter(SPACED.fullmatch, pieces)]
         for k in range(0, len(words), CALL):
             own = words[k : k + CALL]
@@ -92,9 +101,10 @@ class Pieces(dict):
         if not self.apart:
             return [np.array([*self.whole.encode(t, add_special_tokens=False).ids, END_ID], "<u4") for t in texts]
         if len(self) > KEPT_PIECES:
-            self.clear()
+            self.old = dict(self)
+            super().clear()
         parts = [*map(self.split, texts)]
-        self.learn(set(filterfalse(self.__contains__, chain.from_iterable(parts))))
+        self.learn(set(filterfalse(self.__contains__, set(chain.from_iterable(parts)))))
         return [np.frombuffer(b"".join([*map(self.__getitem__, p), end]), "<u4") for p in parts]
 
 
