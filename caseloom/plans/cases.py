@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caseloom.functions import identifiers as ID, licences as L, measurements as M, text as T, times as I
-from caseloom.operators import checks as C, nested as N, scoring as S
+from caseloom.operators import checks as C, extraction as E, nested as N, scoring as S
 from caseloom.sources.tables import table
 
 
@@ -340,6 +340,70 @@ CASES: dict[str, Cases] = {
             (("not json", "{}", "/c"), ("", "", "", None, None)),
         ],
     ),
+    "model_outputs": Cases(
+        "x string",
+        {"value": lambda: E.model_output(c("x"))["value"], "method": lambda: E.model_output(c("x"))["method"], "error": lambda: E.model_output(c("x"))["error"], "coded": lambda: E.contains_coding(E.model_output(c("x"))["value"], F.lit('{"c":1}'))},
+        [
+            (('{"b": 1, "a": 2}',), ('{"a":2,"b":1}', "json", None, False)),
+            (("Here it is: ```json\n{\"a\": {\"coding\": {\"c\": 1}}}\n``` done",), ('{"a":{"coding":{"c":1}}}', "embedded_json", None, True)),
+            (("{'a': True}",), ('{"a":true}', "literal_object", None, False)),
+            (('first {"a": 1} then {"a": 2}',), (None, None, "ambiguous", False)),
+            (('twice {"a": 1} and {"a": 1}',), ('{"a":1}', "embedded_json", None, False)),
+            (("[1, 2]",), (None, None, "not_an_object", False)),
+            (('{"a": 1, "a": 2}',), (None, None, "repeated_key_or_number", False)),
+            (("no object {",), (None, None, "no_object", False)),
+            ((None,), (None, None, "missing", False)),
+        ],
+    ),
+    "cells_and_items": Cases(
+        "raw string, n double, x string, cmp string, unit string, legend string, status string",
+        {"holds": lambda: E.cell_matches(c("raw"), c("n"), c("x"), c("cmp"), c("unit"))["holds"], "reason": lambda: E.cell_matches(c("raw"), c("n"), c("x"), c("cmp"), c("unit"))["reason"], "legend_error": lambda: E.legend_error(c("status"), c("raw"), c("legend"), "not done|missing")},
+        [
+            (("130 mmol/L", 130.0, None, "=", "mmol/L", None, None), (True, "scalar_result_corresponds_without_unit_conversion", None)),
+            (("130", 130.0, "130", "=", "mmol/L", None, "missing"), (True, "scalar_result_corresponds_without_unit_conversion", "no_legend")),
+            (("130 mmol/L", 131.0, None, "=", "mmol/L", None, None), (False, "cell_and_numeric_value_comparator_or_unit_disagree", None)),
+            (("<5", 5.0, None, "=", None, None, None), (False, "cell_and_observation_comparator_disagree", None)),
+            (("5 mg", 5.0, None, "=", "g", None, None), (False, "cell_and_observation_unit_disagree", None)),
+            (("-", None, "-", None, None, "- not done", "not_done"), (False, "missing_cell_has_no_extractable_result_value", None)),
+            (("positive", None, "positive", None, None, "positive: seen", "not_done"), (True, "exact_literal_nonscalar_result", "status_not_stated")),
+            (("ND*", None, "ND*", None, None, "* not done", "not_done"), (False, "missing_cell_has_no_extractable_result_value", None)),
+            (("12", None, None, "=", None, None, None), (False, "cell_value_not_represented_in_observation", None)),
+        ],
+    ),
+    "panel_defaults": Cases(
+        "kind string, modalities array<string>, charts array<struct<type:string,scope:string,clinical:boolean>>, owners array<string>, scopes array<string>, texts array<string>, description string",
+        {"category": lambda: E.panel_default(c("kind"), c("modalities"), c("charts"), c("owners"), c("scopes"))["category"], "includable": lambda: E.panel_default(c("kind"), c("modalities"), c("charts"), c("owners"), c("scopes"))["includable"], "rule": lambda: E.panel_default(c("kind"), c("modalities"), c("charts"), c("owners"), c("scopes"))["rule"], "burned": lambda: E.privacy_hints(c("texts"), c("kind") == "clinical_photograph")["burned_in"], "face": lambda: E.privacy_hints(c("texts"), c("kind") == "clinical_photograph")["face"], "class_": lambda: E.suggested_class(c("kind"), c("description"))},
+        [
+            (("medical_imaging", ["ct"], [], ["p1"], ["individual"], ["A timestamp overlay is seen."], "CARE checklist"), ("clinical_imaging", True, "medical_imaging", "timestamps_or_device_text", False, "non_clinical")),
+            (("microscopy", [], [], [], ["aggregate"], ["No patient name."], None), ("pathology", False, "microscopy+not_attributed_to_local_patient", "none", False, "unknown")),
+            (("clinical_photograph", [], [], ["p1"], ["shared"], ["The face is shown.", "patient name visible"], ""), ("clinical_photo", True, "clinical_photograph", "direct_identifiers", True, "unknown")),
+            (("graph", [], [("line", "individual", True)], ["p1"], ["individual"], [], ""), ("clinical_chart_of_patient_data", True, "graph_of_attributed_patient_data", "none", False, "unknown")),
+            (("graph", [], [("bar", "aggregate", False)], ["p1"], ["individual"], [], ""), ("literature_or_aggregate", False, "graph_aggregate_or_unattributed", "none", False, "unknown")),
+            (("graph", [], [("waveform", "individual", None)], [], [], [], ""), ("waveform", False, "waveform_chart+not_attributed_to_local_patient", "none", False, "unknown")),
+            (("diagram", [], [], [], [], [], ""), ("diagram_or_schematic", False, "diagram", "none", False, "unknown")),
+            (("mp4", [], [], [], [], [], "Video 1"), ("other", False, "image_kind_mp4", "none", False, "video")),
+        ],
+    ),
+    "offsets_and_precision": Cases(
+        "low double, high double, unit string, exact string, day string, age string, quotes array<string>, n double",
+        {"error": lambda: E.offset_error(c("low"), c("high"), c("unit"), c("exact")), "seconds": lambda: E.offset_seconds(c("low"), c("unit")), "precision": lambda: E.calendar_precision(c("day")), "age_text": lambda: E.age_text(c("age"), c("quotes")), "mentions": lambda: E.own_mention(c("n"), c("quotes"))},
+        [
+            ((1.0, 2.0, "day", "bounded", "2020-02-29", None, ["A 13-year-old boy of 13"], 13.0), (None, 86400.0, "day", "13-year-old", 2)),
+            ((2.0, 1.0, "week", "bounded", "2021-02-29", "12", ["x"], 5.0), ("reversed", 1209600.0, None, "12", 0)),
+            ((1.0, 2.0, "month", "exact", "2020-13", None, ["aged 70 years, 70 kg"], 70.0), ("unequal_exact", None, None, "aged 70 years", 2)),
+            ((None, None, "day", None, "2020-12", "unknown", [], 1.0), ("unbounded", None, "month", None, 0)),
+            ((3.0, 3.0, "moons", "exact", "2020", None, ["3 and 3.0"], 3.0), ("unknown_unit", None, "year", None, 2)),
+        ],
+    ),
+    "markup_fields": Cases(
+        "x string",
+        {"journal": lambda: E.markup_fields(c("x"))["journal"], "keywords": lambda: joined(E.markup_fields(c("x"))["keywords"]), "affiliations": lambda: joined(E.markup_fields(c("x"))["affiliations"])},
+        [
+            (("<journal-title>J <i>of</i> X</journal-title><kwd>a</kwd><kwd>b c</kwd><aff id='1'><label>1</label> Uni</aff>",), ("J of X", "a|b c", "1 Uni")),
+            (("<p>none</p>",), (None, "", "")),
+            ((None,), (None, "", "")),
+        ],
+    ),
 }
 
 
