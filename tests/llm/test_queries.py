@@ -2,10 +2,12 @@
 
 import itertools
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
-from caseloom.llm import common, graph, media, packing, pipeline_stages as stages, queries, toxicity
+from caseloom.llm import common, graph, media, packing, pipeline_stages as stages, queries, spotsigs, toxicity
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
@@ -32,7 +34,7 @@ def test_query_runs(spark, folders, rows, name):
     else:
         assert {r.doc_id for r in found} == {r[0] for r in rows}
     if name == "op2_toxicity":
-        assert all(r.held_out == (None if r.doc_id is None else __import__("zlib").crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
+        assert all(r.held_out == (None if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
     empty = queries.queries()[name](spark, folders[1])
     assert empty.count() == 0 and empty.schema == queries.queries()[name](spark, folders[0]).schema
 
@@ -120,7 +122,7 @@ def test_packing_with_two_open_windows_by_force():
                 mine.remove(best)
         assert sorted(map(sorted, done)) == sorted(map(sorted, closed))
         fill = sum(n for w in done for _, n in w) / (2048 * len(done))
-        assert fill > (0.85 if most == 2 else 0.97)
+        assert fill > (0.84 if most == 2 else 0.98)
 
 
 def test_malformed_media_raise_value_error_and_give_an_error_row(spark):
@@ -140,3 +142,19 @@ def test_malformed_media_raise_value_error_and_give_an_error_row(spark):
 
 def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
     assert common.checkpointed(spark.range(3)).count() == 3
+
+
+def test_signatures_by_hand(prose):
+    def by_hand(text):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        chains = set()
+        for i, w in enumerate(words):
+            after = [x for x in words[i + 1 :] if x not in spotsigs.ANCHORS][:2]
+            if w in spotsigs.ANCHORS and len(after) == 2:
+                chains.add(" ".join([w, *after]))
+        if not chains:
+            chains = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)} or ({" ".join(words) or text} if text else set())
+        return sorted(zlib.crc32(x.encode()) for x in chains)
+
+    texts = [*(prose(k, k) for k in range(60)), "", "!!! ???", "the", "the of and", "alpha", "alpha beta", "alpha beta gamma delta", "Der alte Mann und das weite Meer", "no1 the2 x_y"]
+    assert [spotsigs.signatures(t).tolist() for t in texts] == [by_hand(t) for t in texts]
