@@ -1,7 +1,7 @@
 """A catalogue kept up to date from a stream of files: the last row of each key, unchanged ones left as they are.
 
 A micro-batch writes a new version beside the old one; a version counts once its folder holds Spark's _SUCCESS mark, so a batch that
-is run again after a failure starts from the same predecessor and gives the same rows.
+is run again after a failure starts from the same predecessor and gives the same rows. Versions before the predecessor go.
 """
 
 from __future__ import annotations
@@ -33,15 +33,27 @@ def upserted(old: DataFrame | None, new: DataFrame, key: str, order: str, batch:
     return old.join(fresh.select(key), key, "left_anti").select(*rows.columns).unionByName(fresh)
 
 
-def version(spark: SparkSession, target: str, before: int) -> int | None:
-    """The last whole version lower than a batch's number."""
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """All whole versions."""
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return None
+        return []
     names = [s.getPath().getName() for s in fs.listStatus(path)]
-    whole = [int(n) for n in names if n.isdigit() and int(n) < before and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS"))]
-    return max(whole, default=None)
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")))
+
+
+def version(spark: SparkSession, target: str, before: int) -> int | None:
+    """The last whole version lower than a batch's number."""
+    return max((n for n in versions(spark, target) if n < before), default=None)
+
+
+def forget(spark: SparkSession, target: str, before: int) -> None:
+    """Drops versions lower than one."""
+    for n in versions(spark, target):
+        if n < before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def catalog(spark: SparkSession, target: str, before: int = 1 << 62) -> DataFrame | None:
@@ -57,5 +69,6 @@ def follow(spark: SparkSession, source: str, schema: StructType | str, target: s
     def batch(rows: DataFrame, number: int) -> None:
         session = rows.sparkSession
         upserted(catalog(session, target, number), rows, key, order, number).write.mode("overwrite").parquet(f"{target}/{number}")
+        forget(session, target, version(session, target, number) or 0)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
