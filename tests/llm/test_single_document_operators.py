@@ -119,7 +119,7 @@ def test_marginals_against_enumeration():
     rng = np.random.default_rng(0)
     e, trans, start = rng.normal(size=9), rng.normal(size=(2, 2)), 0.3
     first = np.array([1, 0, 0, 0, 1, 0, 0, 1, 0], bool)
-    got_ = toxicity.chained(e, first, np.exp(trans), start, width=4)
+    got_, _ = toxicity.chained(e, first, np.exp(trans), start, width=4)
     want = np.zeros(9)
     for a, b in ((0, 4), (4, 7), (7, 9)):
         total, ones = 0.0, np.zeros(b - a)
