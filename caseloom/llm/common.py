@@ -66,3 +66,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or os.path.join(os.environ.get("TMPDIR", "/tmp"), "caseloom-checkpoints"))
     return df.checkpoint()
+
+
+def without_estimates(df: DataFrame) -> DataFrame:
+    """A checkpointed frame without the optimizer's estimate of its size.
+
+    A checkpoint keeps that of the plan it cuts, and a join's is the product of its sides': over the rounds of a loop the number's digits
+    multiply, and the driver has no memory for it after a dozen.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed
+from .common import checkpointed, without_estimates
 
 #: A key has one salt for each of so many parts of all members that it has, so at most twice as many pairs of key and salt are hot.
 SHARES = 1 << 14
@@ -58,12 +58,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars until a round changes nothing: each round is two joins with pre-aggregated minima, its lineage cut.
     """
     e = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    e, before = without_estimates(e), None
     while True:
         both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
         large = with_least(both.where("b > a"), both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = with_least(large, large.groupBy("a").agg(F.min("b").alias("m"))).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        e = checkpointed(small)
+        e = without_estimates(checkpointed(small))
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break

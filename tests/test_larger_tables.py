@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from caseloom.llm import graph
 from caseloom.operators import scoring as S
 from caseloom.sources import sinks
 from pyspark.sql import functions as F
@@ -53,3 +54,16 @@ def test_matching_takes_groups_across_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert Counter(got) == Counter((None if g == 3 else g, f"l{k}", f"r{k}", 1.0) for g in range(15) for k in range(2))
+
+
+def test_estimates_stay_small_over_rounds(spark, monkeypatch):
+    """A chain takes a round for each doubling; its estimated sizes once were numbers of millions of digits."""
+    frames, checkpointed = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: frames.append(df) or checkpointed(df))
+    node = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << 40))
+    edges = spark.range(200).select(node(F.col("id")).alias("a"), node(F.col("id") + 1).alias("b"))
+    out = graph.connected_components(edges).collect()
+    least = min(r.node for r in out)
+    assert len(out) == len({r.node for r in out}) == 201 and {r.component for r in out} == {least}
+    bits = [f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() for f in frames]
+    assert len(bits) > 5 and max(bits) < 1000
